@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscan.plans import maintenance, pages, searches, traffic
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (searches, pages, maintenance, traffic)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}
