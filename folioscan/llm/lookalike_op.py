@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.lookalike import skeleton
 from folioscan.operators.arrow import flat_map
+from folioscan.operators.checkpoints import ensure_checkpoint_dir
 
 
 def members(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,7 +43,9 @@ def members(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b), key_a < key_b: rows of one class whose text differs."""
-    found = members(df, key, text).select(F.col(key).alias("k"), "text_hash", "class_hash")
+    ensure_checkpoint_dir(df.sparkSession)
+    # read three times below: three short columns are kept, so that texts are mapped and compared once
+    found = members(df, key, text).select(F.col(key).alias("k"), "text_hash", "class_hash").checkpoint()
     mixed = found.groupBy("class_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("class_hash")
     hot = found.join(mixed, "class_hash", "left_semi")
     a, b = hot.alias("a"), hot.alias("b")
