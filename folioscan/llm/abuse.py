@@ -27,22 +27,31 @@ from folioscan.operators.arrow import flat_map
 SAMPLE = 2_400  # rated documents the classifier is fitted on, by the hash of their id, up to half of them with a rating of abuse
 THRESHOLD = 0.085  # of the worst sentence's probability; hardly any sentence lies between 0.05 and 0.15
 ROUNDS = 3
+KEPT_PARTS = 200_000  # words and runs whose part of the score a process remembers
 PROMOTE = 0.3  # score that the best sentence of a document rated abusive needs before it counts as the abusive one
 
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _CJK = "ぁ-ヿ㐀-鿿"
 _SPACED = re.compile(r"(?<![^\W_])([^\W\d_])((?:[.\-_*·~ /][^\W\d_]){2,})(?![^\W_])")
-_CJK_GAP = re.compile(f"(?<=[{_CJK}])[ _\\-*.·~/○〇]+(?=[{_CJK}])")
+_CJK_GAP = re.compile(f"[ _\\-*.·~/○〇]+(?=[{_CJK}])")
+_IS_CJK = re.compile(f"[{_CJK}]")
 _MIXED = re.compile(r"\b(?=[^\W\d_]*[0-9@$])(?=\w*[a-zà-ÿ]{2})[\w@$]{4,}\b")
 _RUN = re.compile(r"([^\W\d_])\1+", re.ASCII)
-_STAR = re.compile(r"(?<=[^\W\d_])[*_.\-](?=[^\W\d_])")
+_STAR = re.compile(r"[*_.\-](?<=[^\W\d_].)(?=[^\W\d_])")  # the mark first: it is rarer than the letter before it
 _SENTENCE = re.compile("[.!?。！？;]+[\\s\"'”»」』)]+|[。！？]+|\n\\s*\n")
 _WORD = re.compile("[a-zà-ÿœ'’]+|[0-9]+")
 _CJK_RUN = re.compile(f"[{_CJK}]+")
+_CJK_WRAP = re.compile(f"(?<=[{_CJK}、。])\r?\n(?=[{_CJK}])")
+_WORD_WRAP = re.compile("(?<=[a-zà-ÿ])[-¬‐]\n(?=[a-zà-ÿ])")
 _KANA_GROUP = re.compile("[ァ-ヴー]{2,}(?=人|族|派|教徒)")
 _LONG_RUN = re.compile(r"([a-zß-ÿ])\1{2,}")
 
 
+def _any_thrice(text: str) -> bool:
+    return any(c in text for c in _THRICE)
+
+
+_THRICE = [c * 3 for c in map(chr, (*range(0x61, 0x7B), *range(0xDF, 0x100)))]
 _MAYBE_SPACED = re.compile(r"[^\W\d_][.\-_*·~ /][^\W\d_][.\-_*·~ /][^\W\d_]")
 _MAYBE_MIXED = re.compile("[0-9@$][a-zà-ÿ]")
 
@@ -58,15 +67,17 @@ def plain(text: str) -> str:
     if "ヒ" in text:
         text = text.replace("タヒ", "死")
     if not text.isascii():
-        text = _CJK_GAP.sub("", text)
-    return _LONG_RUN.sub(r"\1", text)
+        whole = text
+        text = _CJK_GAP.sub(lambda m: "" if m.start() and _IS_CJK.match(whole, m.start() - 1) else m[0], whole)
+    return _LONG_RUN.sub(r"\1", text) if _any_thrice(text) else text
 
 
 def sentences(text: str) -> list[str]:
-    text = plain(text)
-    text = re.sub(f"(?<=[{_CJK}、。])\\r?\\n(?=[{_CJK}])", "", text).replace("\r", "")
-    text = re.sub(r"(?<=[a-zà-ÿ])[-¬‐]\n(?=[a-zà-ÿ])", "", text)
-    text = _STAR.sub("", _KANA_GROUP.sub("某", text))
+    text = plain(text).replace("\r", "")
+    if not text.isascii():
+        text = _KANA_GROUP.sub("某", _CJK_WRAP.sub("", text))
+    text = _WORD_WRAP.sub("", text)
+    text = _STAR.sub("", text)
     return [s for s in _SENTENCE.split(text) if len(s) > 3]
 
 
@@ -105,31 +116,43 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._words: dict[str, float] = {}
+        self._parts: dict[str, float] = {}
+        self._after: dict[str, dict[str, float]] = {}
+        for f, x in weights.items():
+            if " " in f:
+                first, second = f.split(" ", 1)
+                self._after.setdefault(first, {})[second] = x
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "_words": {}}
+        return {"weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.__init__(state["weights"], state["bias"])
 
     def sentence(self, s: str) -> float:
         """The sum over features(), with the part of a word kept once it was worked out."""
-        get, known = self.weights.get, self._words
-        z, last = self.bias, "^"
+        get, known, after = self.weights.get, self._parts, self._after
+        z, last = self.bias, after.get("^")
         if not s.isascii():
-            for run in runs(s):
+            for run in _CJK_RUN.findall(s):
                 part = known.get(run)
                 if part is None:
-                    part = sum(get(run[i : i + 2], 0.0) + get(run[i : i + 3], 0.0) for i in range(len(run) - 2)) + (get(run[-2:], 0.0) if len(run) > 1 else 0.0)
-                    if len(known) < 200_000:
+                    part = sum([get(run[i : i + 2], 0.0) + get(run[i : i + 3], 0.0) for i in range(len(run) - 2)]) + (get(run[-2:], 0.0) if len(run) > 1 else 0.0)
+                    if len(known) < KEPT_PARTS:
                         known[run] = part
                 z += part
-        for w in words(s):
+        for w in _WORD.findall(s):
+            if w[0] <= "9":
+                w = "0"
             part = known.get(w)
             if part is None:
-                part = sum(get(f, 0.0) for f in inner(w))
-                if len(known) < 200_000:
+                part = sum([get(f, 0.0) for f in inner(w)])
+                if len(known) < KEPT_PARTS:
                     known[w] = part
-            z += part + get(last + " " + w, 0.0)
-            last = w
+            z += part
+            if last is not None and (x := last.get(w)) is not None:
+                z += x
+            last = after.get(w)
         return z
 
     def score(self, text: str | None) -> float:
