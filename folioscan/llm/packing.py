@@ -107,7 +107,8 @@ def containers(
     groups = max(1, -(-n // GROUP_ITEMS))
     items = sizes(df, key, text, tokenizer, capacity).distinct()
     kind = df.schema[key].dataType.simpleString()
-    grouped = items.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    # the number is given, so that adaptive execution leaves the groups in tasks of their own: they are small but slow
+    grouped = items.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).repartition(groups, "bucket")
 
     def run(tables: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
         t = tables.sort_by([(key, "ascending"), ("part", "ascending")])
