@@ -41,8 +41,9 @@ _J2 = _second_level()
 SUSPECT = re.compile(
     "[\u0080-\u009f\ufffd\ue000-\uf8ff\u2550-\u259f]"
     "|[À-ÿŒœŠšŸŽžƒˆ˜][\u0080-¿ŒŠšŸŽžƒˆ˜–-›€™]"
+    "|[A-Za-z][ⁿΘΦΣ÷Ω⌠√∩³þÞ‰ˆ‡¸]|[ⁿΘΦΣΩ⌠∩þÞ‰ˆ‡¸][a-z]|√[^ \\d]|‚Ä|„[ÅÇÉ]|[a-z][À-ÖØ-Þ](?=[a-z ])"
     "|[¡-ÿ]{3}|[À-ÞŒ‚ƒ„†‡ˆŠŽ][0-9]|[0-9] ?[øúÇÔ╛║░▀]|[a-z][░▀├┬╡]|┬|├"
-    "|[\u0400-\u04ff][€-™\u00a0-»]|[\u0370-\u03ff][^\x00-\x7f\u0370-\u03ff\u3000-\u9fff]"
+    "|[\u0400-\u04ff][€-™\u00a0-»‚„…†‡‰‹›•]|[A-Za-z][бгджзийлфцчшщъыьэюя]|[бгджзийлфцчшщъыьэюя][A-Za-z]|Ђ|[\u0370-\u03ff][^\x00-\x7f\u0370-\u03ff\u3000-\u9fff]"
     f"|[{_J2}][{_J2}｡-ﾟA-Za-z]|[｡-ﾟ][一-鿿]|[一-鿿][｡-ﾟ]|[A-Za-z][一-鿿][A-Za-z]|[｡､･｢｣][ｦ-ﾟ]|[ｦ-ﾟ][ 0-9]*[､･｡｢]|ﾂ[｡-ﾟ]|[縺繧繝蜀][^ ]"
     "|\\$[B@][!-~]{2}|&#?[0-9A-Za-z]{2,8};|\\\\u[0-9A-Fa-f]{4}|%[0-9A-F]{2}%[0-9A-F]{2}|=[0-9A-F]{2}=[0-9A-F]{2}"
 )
@@ -105,7 +106,7 @@ def char_class(ch: str) -> str:
         return "g"
     if o == 0x20AC or 0x2010 <= o <= 0x2015 or 0x2018 <= o <= 0x201F or 0xFF00 <= o <= 0xFF60 or o in (0x2026, 0x2030, 0x2116, 0x2212, 0x2300, 0x203B) or 0xFB00 <= o <= 0xFB06:
         return "q"
-    if 0x2E80 <= o <= 0x2FDF or 0x200B <= o <= 0x200F or 0x300 <= o <= 0x36F or o in (0xFEFF, 0x2060, 0x3099, 0x309A):
+    if 0x2E80 <= o <= 0x2FDF or 0x200B <= o <= 0x200F or o in (0xFEFF, 0x2060, 0x3099, 0x309A):
         return "q"
     return "o"
 
@@ -123,7 +124,7 @@ PAIR = {
     "lq": 0.9, "ls": 1.0, "ll": 0.5, "sl": 0.6, "ql": 0.4, "lo": 1.0, "ol": 0.8, "hj": 0.6, "jh": 0.6, "hJ": 0.6, "Jh": 0.6,
     "hA": 0.3, "Jk": 0.1, "jA": 0.6, "Aj": 0.6, "gq": 0.8, "gs": 0.9, "go": 0.8, "og": 0.8, "gl": 0.9, "lg": 0.9, "bA": 0.8, "Ab": 0.8, "bl": 0.8,
     "lb": 0.8, "bq": 0.3, "qb": 0.3, "bg": 0.8, "gb": 0.8, "oq": 0.4, "sq": 0.5, "qs": 0.4, "JA": 0.5, "AJ": 0.5, "Ah": 0.3, "Ag": 0.4, "gA": 0.4,
-    "kl": 0.5, "lk": 0.5, "jl": 0.5, "lj": 0.5, "Jl": 0.5, "lJ": 0.5, "hk": 0.1, "kh": 0.1,
+    "Ao": 0.4, "oA": 0.4, "kl": 0.5, "lk": 0.5, "jl": 0.5, "lj": 0.5, "Jl": 0.5, "lJ": 0.5, "hk": 0.1, "kh": 0.1,
 }
 _UPPER_IN_WORD = re.compile("[a-zß-ÿ][À-Þ]|[À-Þ][0-9]|[0-9][À-Þß-ÿ]|(?<=[ \n])[à-ÿ](?=[ ,.;]?\\d)")
 
@@ -185,7 +186,7 @@ def neighbours(text: str):
             continue
         seen.add(key)
         for writer in TRUE_WRITERS:
-            if writer == reader or (len(pieces) > 1 and writer == "cp1252"):
+            if len(pieces) > 1 and writer == "cp1252":
                 continue
             try:
                 yield "\ufffd".join([r.decode(writer) for r in raws])

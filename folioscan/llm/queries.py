@@ -87,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": "SELECT DISTINCT page_id FROM memory_pages WHERE length(regexp_replace(raw, '\\r\\n', '\\n', 'g')) > 1800"}
+    return {"p3_found": "SELECT DISTINCT page_id FROM memory_pages WHERE length(replace(raw, chr(13) || chr(10), chr(10))) > 1800"}
