@@ -137,6 +137,8 @@ SQL = {
     "p AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (v) OVER w AS vn, count(*) FILTER (lf) OVER w AS ln FROM b WINDOW w AS (PARTITION BY page_id)), "
     "q AS (SELECT *, CASE WHEN vn > n - vn AND vn >= 3 THEN 'vertical' WHEN n >= 6 AND ln >= 2 AND n - ln >= 2 AND ln / n > 0.3 AND ln / n < 0.7 THEN 'columns' ELSE 'single' END AS layout FROM p) "
     "SELECT page_id, layout, string_agg(t, chr(10) ORDER BY CASE WHEN layout = 'columns' AND NOT lf THEN 1 ELSE 0 END, CASE WHEN layout = 'vertical' THEN -x0 ELSE -y1 END, CASE WHEN layout = 'vertical' THEN -y1 ELSE x0 END, t) AS raw FROM q GROUP BY 1, 2",
+    "chunk_markers": "WITH r AS (SELECT path, page_no, replace(replace(max(raw), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS raw FROM memory_pages WHERE page_no IS NOT NULL GROUP BY 1, 2), "
+    f"t AS (SELECT path, page_no, regexp_replace(raw, '^{WS}+|{WS}+$', '', 'g') AS t FROM r) SELECT path, page_no, length(t) AS n FROM t WHERE t <> ''",
     "csv_row_text": "SELECT n_nationkey, concat_ws(' ', n_nationkey, n_name, n_regionkey) AS line FROM nation",
     "proximity_spans": "WITH m AS (SELECT DISTINCT page_id AS k, norm AS t FROM memory_pages WHERE contains(norm, 'pump') AND contains(norm, 'lease')), "
     "o AS (SELECT k, 0 AS g, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 4) = 'pump')) AS p FROM m UNION ALL SELECT k, 1, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 5) = 'lease')) FROM m), "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,7 @@ from folioscan.operators import results, search
 from folioscan.operators.search import Request
 from folioscan.sources.tables import table
 
-ALL = (
-    "bb7f6891d8", "103b732ebc", "ec5505c757", "4cc2b060ce", "379d49874b", "8ce6e1f3e9", "4a45ef408e", "6bc07a9a73", "73212eed32", "795132db79",
-    "02cbb66b9b", "7774d89c1b", "02729b77df", "57740ea9d7", "b3ebef1c84", "e7a5e81547", "9311923a5d", "81aea61676", "78b0fd1319", "31cb9222ef",
-)
+ALL = ("*",)  # every configured folder
 SOME = ("78b0fd1319", "ec5505c757", "8ce6e1f3e9", "e7a5e81547")
 
 AND = Request("the pump", ALL)
@@ -38,13 +37,21 @@ def _shown(hits: DataFrame) -> DataFrame:
     return hits.select("folder_id", "path", "page", F.col("detail_key.page").alias("page_key"), F.col("detail_key.hit_pos").cast("bigint").alias("hit_pos"), "context").distinct()
 
 
+def _of(spark: SparkSession, d: str, request: Request) -> Request:
+    """The request with the configured folders, a small fixed table, put in."""
+    if request.folders != ALL:
+        return request
+    ids = tuple(r.folder_id for r in table(spark, d, "folders").select("folder_id").distinct().collect())
+    return replace(request, folders=ids or ("",))
+
+
 def _search(request: Request):
-    return lambda spark, d: _shown(search.hits(table(spark, d, "memory_pages"), request))
+    return lambda spark, d: _shown(search.hits(table(spark, d, "memory_pages"), _of(spark, d, request)))
 
 
 def _hits(spark: SparkSession, d: str, request: Request = AND, detail: bool = False) -> DataFrame:
     """The hits of the search that the result queries build on, each once."""
-    return search.hits(table(spark, d, "memory_pages"), request, detail=detail).distinct()
+    return search.hits(table(spark, d, "memory_pages"), _of(spark, d, request), detail=detail).distinct()
 
 
 # SQL twins
@@ -98,7 +105,7 @@ def _range(r: Request) -> str:
 
 
 def _sql(r: Request, detail: bool = False) -> str:
-    folders = ", ".join(f"'{f}'" for f in r.folders)
+    folders = "SELECT folder_id FROM folders" if r.folders == ALL else ", ".join(f"'{f}'" for f in r.folders)
     near = r.mode == "AND" and r.range_limit > 0 and len(r.words) > 1
     return (
         f"WITH s AS (SELECT *, {_column(r)} AS t, {EVEN} AS e, md5(path || '|' || page_key) AS k FROM memory_pages WHERE folder_id IN ({folders})), m AS (SELECT * FROM s WHERE {_where(r)})"
@@ -211,5 +218,6 @@ SQL = {name: _sql(r) for name, r in REQUESTS.items()} | {
     "export_rows": _SHOWN + f"SELECT DISTINCT file, path, page, coalesce(folder_name, folder_id) AS folder, {_CONTEXT} AS context, {_detail_sql('pos')} AS detail FROM a",
     "result_count": _BASE + "SELECT count(*) AS n FROM h",
     "highlight": _SHOWN + f", c AS (SELECT DISTINCT path, page_key, {_CONTEXT} AS context FROM a) SELECT path, page_key, regexp_replace({_ESC}, '(?i)(pump)', '<span class=\"highlight\">\\1</span>', 'g') AS marked FROM c",
+    "highlight_words": _SHOWN + f", c AS (SELECT DISTINCT path, page_key, {_CONTEXT} AS context FROM a) SELECT path, page_key, context, regexp_replace({_ESC}, '(?i)(the pump|lease|pump)', '<span class=\"highlight\">\\1</span>', 'g') AS marked FROM c",
     "colliding_file_ids": "SELECT file_id, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM memory_pages GROUP BY 1 HAVING count(DISTINCT path) > 1",
 }
