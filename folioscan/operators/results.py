@@ -24,10 +24,11 @@ EXPORT_HEADER = ["ファイル名", "パス", "ページ", "フォルダ", "ス
 def folder_facet(hits: DataFrame) -> DataFrame:
     """(folder_id, label, n), largest first; a name that several folders share carries the id."""
     per = hits.groupBy("folder_id").agg(F.max("folder_name").alias("name"), F.count("*").alias("n"))
-    named = per.groupBy("name").agg(F.count("*").alias("ids"))
     name = F.coalesce(F.col("name"), F.col("folder_id"))
-    label = F.when(F.col("ids") > 1, F.concat(name, F.lit(" ("), F.col("folder_id"), F.lit(")"))).otherwise(name)
-    return per.join(named, per["name"].eqNullSafe(named["name"])).drop(named["name"]).select("folder_id", label.alias("label"), "n").orderBy(F.desc("n"), "label")
+    # one row per folder by now: the folders are a small configured table
+    shared = F.count("*").over(W.partitionBy("name")) > 1
+    label = F.when(shared, F.concat(name, F.lit(" ("), F.col("folder_id"), F.lit(")"))).otherwise(name)
+    return per.select("folder_id", label.alias("label"), "n").orderBy(F.desc("n"), "label")
 
 
 def extension_facet(hits: DataFrame) -> DataFrame:
