@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.lookalike import skeleton
 from folioscan.operators.arrow import flat_map
 from folioscan.operators.checkpoints import ensure_checkpoint_dir
+from folioscan.operators.skew import spread_join
 
 
 def members(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,9 +49,11 @@ def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     found = members(df, key, text).select(F.col(key).alias("k"), "text_hash", "class_hash").checkpoint()
     mixed = found.groupBy("class_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("class_hash")
     hot = found.join(mixed, "class_hash", "left_semi")
-    a, b = hot.alias("a"), hot.alias("b")
-    return (
-        a.join(b, (F.col("a.class_hash") == F.col("b.class_hash")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.text_hash") != F.col("b.text_hash")))
-        .select(F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b"))
-        .distinct()
-    )
+    # first the pairs of different texts, then their rows: copies of one text are never compared with each other
+    texts = hot.select("class_hash", "text_hash").distinct()
+    a = texts.select(F.col("class_hash").alias("ca"), F.col("text_hash").alias("ha"))
+    b = texts.select(F.col("class_hash").alias("cb"), F.col("text_hash").alias("hb"))
+    different = spread_join(a, b, "ca", "cb", "ha").where("ha <> hb").select("ha", F.col("hb").alias("other"))
+    ends = hot.select(F.col("k").alias("ka"), F.col("text_hash").alias("ha")).join(different, "ha").select("ka", "other")
+    pairs = spread_join(ends, hot.select(F.col("k").alias("kb"), F.col("text_hash").alias("hb")), "other", "hb", "ka").where("ka < kb")
+    return pairs.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b")).distinct()

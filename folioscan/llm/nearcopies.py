@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from folioscan.operators.arrow import flat_map
 from folioscan.operators.checkpoints import ensure_checkpoint_dir
 from folioscan.operators.components import components
+from folioscan.operators.skew import spread_join
 
 PIECE = 5
 SYMBOLS = 60
@@ -162,13 +163,14 @@ def _distance(a: str, b: str) -> Column:
 def near_pairs(df: DataFrame, key: str, path: str, text: str, similarity: float = 0.6, least: int = 200) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of rows with different path and similar text."""
     linked, members = links(df, key, path, text, similarity, least)
-    # both ways, and each text with itself, so that one join gives every pair of rows
     both = linked.select("hash_a", "hash_b").unionByName(linked.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b")))
     left = members.select(F.col("key").alias("ka"), F.col("path").alias("pa"), F.col("text_hash").alias("hash_a"))
     right = members.select(F.col("key").alias("kb"), F.col("path").alias("pb"), F.col("text_hash").alias("hash_b"))
-    different = left.join(both, "hash_a").join(right, "hash_b").where("ka < kb and pa <> pb").select("ka", "kb")
-    same = left.join(right, F.col("hash_a") == F.col("hash_b")).where("ka < kb and pa <> pb").select("ka", "kb")
-    return different.unionByName(same).select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b")).distinct()
+    linked_to = left.join(both, "hash_a").select("ka", "pa", F.col("hash_b").alias("hash_l"))
+    # a text with itself and with the texts it is linked to, in one join; copies may be very many
+    ends = linked_to.unionByName(left.select("ka", "pa", F.col("hash_a").alias("hash_l")))
+    pairs = spread_join(ends, right, "hash_l", "hash_b", "ka").where("ka < kb and pa <> pb").select("ka", "kb")
+    return pairs.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b")).distinct()
 
 
 def groups(df: DataFrame, key: str, path: str, text: str, similarity: float = 0.6, least: int = 200) -> DataFrame:
