@@ -110,14 +110,14 @@ def links(df: DataFrame, key: str, path: str, text: str, similarity: float = 0.6
     in neither; repeated rows are one row.
     """
     rows = _rows(df, key, path, text, least)
-    members = rows.select("key", "path", "text_hash").distinct()
+    ensure_checkpoint_dir(df.sparkSession)
+    members = rows.select("key", "path", "text_hash").distinct().checkpoint()  # read three times by the callers
     texts = rows.groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def kernel(h, t):
         symbols = fingerprint(t)
         yield h, packed(symbols), ball_keys(symbols).tolist()
 
-    ensure_checkpoint_dir(df.sparkSession)
     # read four times below: kept once, at some 550 bytes a text
     prints = flat_map(texts, kernel, "text_hash string, symbols array<bigint>, keys array<bigint>").withColumn("id", F.xxhash64("text_hash")).checkpoint()
     # one table per segment and open position, all in one frame: the key names its table
