@@ -14,7 +14,7 @@ _BORROWED = re.compile("[" + "".join(map(chr, LOOKALIKES)) + "]")
 
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e007f\U000e0100-\U000e01ef]")
 BLANKS = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
-HYPHENS = re.compile("[\u2010-\u2015\u2043\u207b\u208b\u2212\u2e3a\u2e3b\ufe58\ufe63\uff0d]")
+HYPHENS = re.compile("[\u2010\u2011\u2043\u207b\u208b\u2212\ufe63\uff0d]")  # hyphens and minus signs; dashes are other punctuation
 _PLAIN = re.compile(r"[\n\r\t -~]*\Z")
 
 

@@ -17,6 +17,8 @@ probability 0.7 %, at 0.75 with less than 1e-5.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +89,14 @@ def ball_keys(symbols: np.ndarray) -> np.ndarray:
         return (np.stack(codes, 1) | (number << np.uint64(46))).astype(np.int64).ravel()
 
 
+@functools.lru_cache(maxsize=256)  # pairs of one text come one after another
+def _piece_set(text: str) -> frozenset[str]:
+    return frozenset(text[i : i + PIECE] for i in range(len(text) - PIECE + 1))
+
+
 def jaccard(a: str, b: str) -> float:
     """Of the distinct 5-character pieces, exactly."""
-    x = {a[i : i + PIECE] for i in range(len(a) - PIECE + 1)}
-    y = {b[i : i + PIECE] for i in range(len(b) - PIECE + 1)}
+    x, y = _piece_set(a), _piece_set(b)
     both = len(x & y)
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
