@@ -23,6 +23,7 @@ TRUE_WRITERS = ("utf-8", "cp932", "euc_jp", "cp1252")
 
 MAX_EXPANDED = 24  # states expanded for one span
 STEP_COST = 0.25  # added for each step, so that the shortest of equal paths wins
+OTHER_COST = 0.3  # added for a step to another encoding than UTF-8, which seldom fits by chance
 MIN_GAIN = 0.9  # cost a repair has to save before its span counts as garbled
 MAX_KEPT = 0.45  # share of the old cost that may be left after a repair
 RESIDUE = 0.55  # mean cost of the non-ASCII characters above which a span is garbled for good
@@ -174,8 +175,9 @@ def _jis(m: re.Match) -> str:
 
 
 def neighbours(text: str):
-    """Every text one step away."""
-    yield from _unescaped(text)
+    """(text, what the step costs) of every text one step away."""
+    for t in _unescaped(text):
+        yield t, STEP_COST
     if text.isascii():
         return
     pieces = text.split("\ufffd")
@@ -188,36 +190,37 @@ def neighbours(text: str):
         for writer in TRUE_WRITERS:
             if len(pieces) > 1 and writer == "cp1252":
                 continue
+            step = STEP_COST + (writer != "utf-8") * OTHER_COST
             try:
-                yield "\ufffd".join([r.decode(writer) for r in raws])
+                yield "\ufffd".join([r.decode(writer) for r in raws]), step
             except UnicodeDecodeError:
                 if writer != "cp1252":
-                    yield "\ufffd".join([r.decode(writer, "replace") for r in raws])
+                    yield "\ufffd".join([r.decode(writer, "replace") for r in raws]), step
 
 
 def search(span: str) -> tuple[str, float, float]:
     """Cheapest text reachable from *span*, with the cost before and after."""
     start = cost(span)
     best, best_cost = span, start
-    frontier = [(start, 0, 0, span)]
+    frontier = [(start, 0.0, 0, 0, span)]
     visited = {hash(span)}
     tie = expanded = 0
     while frontier and expanded < MAX_EXPANDED:
-        at, depth, _, text = heapq.heappop(frontier)
+        at, paid, depth, _, text = heapq.heappop(frontier)
         if at > best_cost + 2.0 + 0.5 * start:
             break
         expanded += 1
-        for nxt in neighbours(text):
+        for nxt, step in neighbours(text):
             h = hash(nxt)
             if h in visited or not nxt:
                 continue
             visited.add(h)
-            c = cost(nxt) + STEP_COST * (depth + 1)
+            c = cost(nxt) + paid + step
             if c < best_cost:
                 best, best_cost = nxt, c
             if depth < 3 and c < start * 1.6 + 1:
                 tie += 1
-                heapq.heappush(frontier, (c, depth + 1, tie, nxt))
+                heapq.heappush(frontier, (c, paid + step, depth + 1, tie, nxt))
     return best, start, best_cost
 
 
@@ -314,6 +317,15 @@ def settle(line: str) -> str:
     return line
 
 
+LOOK_GAIN = 0.3
+
+
+def _cut_mark(line: str) -> tuple[str, str]:
+    """The line without the mark that cuts a word at its end."""
+    m = re.search("[¬\u00ad\u2010-]*[ \r]*\\Z", line)
+    return line[: m.start()], line[m.start() :]
+
+
 _NEAR_C2 = re.compile("[À-ÿ]\u00ad|\u00ad[À-ÿ]")
 
 
@@ -329,9 +341,12 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
         if not SUSPECT.search(line) or not SUSPECT.search(settled := settle(line)):
             out.append(line)
             continue
-        start = _JIS.sub(_jis, settled)
+        body, tail = _cut_mark(settled)
+        start = _JIS.sub(_jis, body)
         fixed, hit = repair_span(start)
-        hit = hit or start != settled
+        if hit and not HARD.search(line) and not _HALF.search(line) and cost(skeleton(start)) < cost(fixed) - LOOK_GAIN:
+            fixed, hit = start, False  # folding its look-alikes makes the cheaper text
+        hit, fixed = hit or start != body, fixed + tail
         if HARD.search(line) or (not hit and lost(settled)):
             garbled = True
             gone = gone or bool(HARD.search(fixed)) or not hit
