@@ -25,10 +25,10 @@ from folioscan.llm.seeds import ABUSIVE, GROUPS, SOBER
 from folioscan.operators.arrow import flat_map
 
 SAMPLE = 2_400  # rated documents the classifier is fitted on, by the hash of their id, up to half of them with a rating of abuse
-THRESHOLD = 0.085  # of the worst sentence's probability; hardly any sentence lies between 0.05 and 0.15
+THRESHOLD = 0.12  # of the worst sentence's probability; chosen with PROMOTE on held-out ratings
 ROUNDS = 3
 KEPT_PARTS = 200_000  # words and runs whose part of the score a process remembers
-PROMOTE = 0.3  # score that the best sentence of a document rated abusive needs before it counts as the abusive one
+PROMOTE = 0.15  # score that the best sentence of a document rated abusive needs before it counts as the abusive one
 
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _CJK = "ぁ-ヿ㐀-鿿"

@@ -1,39 +1,27 @@
 """Plain seed sentences for the abuse classifier, and names of groups of people.
 
 Fixed values: everyday examples of abuse, threats, hate and sexual talk, and of
-sober sentences that use the same words.
+sober sentences about the same matters.  They give training a first direction;
+what the documents' own wording looks like has to come from the ratings.
 """
 
 ABUSIVE = [
-    "You are an idiot and a worthless piece of shit.", "Shut up, you stupid bitch.", "What a fucking moron, get lost, asshole.", "I will kill you if I see you again.",
-    "I am going to beat you until you bleed.", "Go kill yourself, nobody would miss you.", "You should be dead.", "Those people are vermin and should be thrown out of the country.",
-    "They are animals, lock them up, deport every one of them.", "Women are too stupid to work here and belong in the kitchen.", "Gays are disgusting and should burn.",
-    "Immigrants are thieves and stink.", "Send me your nudes, I want to see your tits.", "He fucked her hard until she moaned and came.", "She sucked his cock on her knees.",
-    "Free porn videos, horny women having sex on camera.", "I want to lick your pussy and undress you tonight.", "You lazy bastard, you retarded cretin, you scum.",
-    "I hope you choke and die, you disgusting pig.", "Nobody would cry if you hanged yourself.", "Your parents should be ashamed that you were born.",
-    "Disabled people are a burden and should be put down.", "He ripped off her panties and pressed his body into hers.", "I know where you live, you will pay for this with your blood.",
-    "Du bist ein Idiot und ein dummes Arschloch.", "Halt die Fresse, du Schlampe.", "Ich bringe dich um, wenn ich dich noch einmal sehe.", "Verreck doch, du Missgeburt.",
-    "Bring dich um, niemand würde dich vermissen.", "Dieses Pack ist Ungeziefer und gehört aus dem Land geprügelt.", "Die stinken und stehlen alle, raus mit ihnen.",
-    "Frauen sind zu dumm dafür und gehören an den Herd.", "Schick mir Nacktfotos, ich will deine Titten sehen.", "Er zog ihr den Slip aus und fickte sie.", "Geile Pornos, heiße Frauen beim Sex ansehen.",
-    "So ein Vollidiot, zu blöd zum Atmen.", "Ich schlage dir den Schädel ein, du Wichser.", "Solche Leute sollte man vergasen.",
-    "Ferme ta gueule, sale con.", "Tu es un connard et une grosse merde, crève.", "Je vais te tuer, je sais où tu habites.", "Va te pendre, personne ne te regrettera.",
-    "Ces gens sont de la vermine, qu'on les chasse du pays.", "Ils puent et ils volent, dehors.", "Les femmes sont trop bêtes et devraient rester à la cuisine.",
-    "Envoie-moi des photos de toi nue, je veux te baiser.", "Il lui arracha sa culotte et la prit contre le mur.", "Vidéos porno gratuites, des salopes en chaleur.", "Pauvre débile, espèce de pute, je vais te casser la gueule.",
-    "On devrait interdire à ces gens de respirer le même air que nous.",
-    "お前みたいなバカは死ね。", "このクズ野郎、消えろ。", "ぶっ殺すぞ、キチガイ。", "次に会ったら殺してやる。", "刺してやる、覚えておけ。", "自殺しろ、誰も悲しまない。", "早く飛び降りて死んでしまえ。", "あいつらは害虫だから国から叩き出せ。",
-    "外国人は泥棒だ、部屋を貸すな。", "臭くて嘘つきだ、追い払え。", "女は頭が悪いから黙っていろ。", "障害者は邪魔だ、出ていけ。", "裸の写真を送れ、おっぱいが見たい。", "彼女の奥まで突いて喘がせた。", "スカートの中に手を入れて下着を脱がせ、舐め回した。",
-    "無修正のエロ動画、巨乳の人妻が毎晩セックス。", "うすのろのブス、視界に入るな、気持ち悪い。", "家に火をつけてやる。", "ゴミ以下の役立たず、生きる価値がない。", "痴女が乱れるハメ撮りを今すぐ見る。",
+    "You are an idiot.", "Shut your mouth, you moron.", "You stupid bitch.", "Fuck off, asshole.", "What a worthless bastard you are.", "I will kill you.", "I am going to hurt you and your children.",
+    "Kill yourself.", "I wish you were dead.", "These people are subhuman and must be wiped out.", "They are parasites, get rid of them all.", "Women are stupid and should shut up.", "Gays are perverts.",
+    "Foreigners are criminals.", "Show me your naked body.", "He fucked her all night.", "She sucked his cock.", "Watch free porn with horny girls.", "I want to have sex with you right now.", "You filthy whore.",
+    "Du bist ein Idiot.", "Halt dein Maul, du Trottel.", "Du dumme Schlampe.", "Verpiss dich, Arschloch.", "Ich bringe dich um.", "Bring dich doch um.", "Diese Leute sind Untermenschen.", "Ausländer sind Verbrecher.",
+    "Frauen sind dumm.", "Zeig mir deine Brüste.", "Er fickte sie die ganze Nacht.", "Gratis Pornos mit geilen Weibern.", "Du bist eine widerliche Sau.",
+    "Tu es un idiot.", "Ta gueule, imbécile.", "Espèce de salope.", "Va te faire foutre, connard.", "Je vais te tuer.", "Suicide-toi.", "Ces gens sont des sous-hommes.", "Les étrangers sont des criminels.",
+    "Les femmes sont idiotes.", "Montre-moi tes seins.", "Il l'a baisée toute la nuit.", "Du porno gratuit avec des filles chaudes.", "Tu es une sale merde.",
+    "お前はバカだ。", "黙れ、クズ。", "このアホ野郎。", "死ね。", "殺すぞ。", "自殺しろ。", "あいつらは人間以下だ、皆殺しにしろ。", "外国人は犯罪者だ。", "女はバカだ。", "お前の裸を見せろ。", "彼は一晩中彼女を犯した。", "無料のエロ動画とポルノ。", "気持ち悪いブス、消えろ。", "役立たずのゴミめ。",
 ]
 
 SOBER = [
-    "The policy against sexual harassment was revised.", "Training on hate speech is open to all staff.", "Kill the process before the child processes are aborted.", "The report on threats against immigrants calls for better protection.",
-    "Breast cancer screening for women takes place on Monday.", "Rats and other vermin were found and the hall was fumigated.", "This printer is driving me crazy and the form is terrible.", "I hate to interrupt, but the pump needs a second look.",
-    "Pass the male plug through the female socket and strip the cable.", "Master cylinder and slave cylinder were bled.", "That is a damn good piece of work.", "The shooting of the training film starts at noon.", "The dead spot of the crane is dangerous.",
-    "A gay couple asked for the form for married staff.", "The prayer room for Muslims is open at noon.", "Women and men use separate changing rooms.", "The suicide prevention line is open day and night.", "The victim was insulted, and the complaint was filed.",
-    "Die Schulung gegen sexuelle Belästigung findet am Montag statt.", "Ungeziefer im Lager wird bekämpft.", "Der blöde Drucker steht schon wieder still.", "Der tote Winkel am Kran ist lebensgefährlich.", "Den Prozess töten, bevor der Speicher voll ist.", "Die Beauftragte für Frauen und Behinderte berät.", "Beschimpfungen sind nach der Hausordnung verboten.",
-    "La formation contre le harcèlement sexuel aura lieu lundi.", "La vermine du dépôt a été éliminée.", "Il faut tuer le processus avant minuit.", "Le sein de l'équipe reste calme malgré cette fichue imprimante.", "Le dépistage du cancer du sein est proposé aux femmes.", "Les insultes sont interdites par le règlement.",
-    "セクシュアルハラスメント防止研修を行う。", "乳がん検診の案内を配布する。", "害虫駆除のため工場を閉鎖した。", "維持費も馬鹿にならないので見直す。", "バカ穴の寸法を確認する。", "鉄クズの付着を確認した。", "裸電線に触れぬこと。", "死亡保険金の請求書を送る。", "必死に探したが見つからなかった。", "女性社員の休憩室を移す。",
-    "嫌がらせを防ぐ手引をまとめた。", "子プロセスを殺してから再起動する。", "外国人社員の相談窓口を設ける。", "障害者用の通路を広げる。", "差別的な発言は規程で禁じる。",
+    "The policy forbids insults and threats.", "A course on hate speech is held in March.", "The nurse explained the examination.", "The dead battery was replaced.", "Women and men have the same rights.", "The office for foreigners is on the first floor.",
+    "The victim reported the assault to the police.", "Sexual education is part of the programme.", "This machine is annoying and far too slow.", "The filter kills bacteria.",
+    "Die Richtlinie verbietet Beleidigungen und Drohungen.", "Ein Kurs über Hassrede findet im März statt.", "Frauen und Männer haben gleiche Rechte.", "Die Ausländerbehörde ist im ersten Stock.", "Der Filter tötet Bakterien ab.", "Dieses Gerät ist lästig und viel zu langsam.",
+    "Le règlement interdit les insultes et les menaces.", "Un cours sur les discours de haine a lieu en mars.", "Les femmes et les hommes ont les mêmes droits.", "Le bureau des étrangers est au premier étage.", "Le filtre tue les bactéries.", "Cette machine est agaçante et bien trop lente.",
+    "規程は侮辱や脅迫を禁じる。", "ヘイトスピーチに関する講習を三月に開く。", "女性も男性も同じ権利を持つ。", "外国人相談の窓口は一階にある。", "フィルターは細菌を殺す。", "この機械は遅くて困る。", "性教育の資料を配る。", "自殺予防の電話相談を知らせる。",
 ]
 
 GROUPS = {
