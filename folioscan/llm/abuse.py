@@ -48,11 +48,14 @@ _LONG_RUN = re.compile(r"([a-zß-ÿ])\1{2,}")
 
 
 def _any_thrice(text: str) -> bool:
-    return any(c in text for c in _THRICE)
+    for c in _THRICE:
+        if c in text:
+            return True
+    return False
 
 
 _THRICE = [c * 3 for c in map(chr, (*range(0x61, 0x7B), *range(0xDF, 0x100)))]
-_MAYBE_SPACED = re.compile(r"[^\W\d_][.\-_*·~ /][^\W\d_][.\-_*·~ /][^\W\d_]")
+_MAYBE_SPACED = re.compile(r"[.\-_*·~ /](?<=[^\W\d_].)[^\W\d_][.\-_*·~ /][^\W\d_]")
 _MAYBE_MIXED = re.compile("[0-9@$][a-zà-ÿ]")
 
 
