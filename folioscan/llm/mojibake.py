@@ -328,17 +328,86 @@ def _cut_mark(line: str) -> tuple[str, str]:
 
 _NEAR_C2 = re.compile("[À-ÿ]\u00ad|\u00ad[À-ÿ]")
 
+# One-byte readers that turn a letter into another sign, and what else may rightly stand within a word.
+SIGN_READERS = ("cp437", "cp850", "mac_roman", "cp1251")
+_RIGHT_IN_WORD = frozenset("·°²µªº–—’‘“”„‚…•\u00a0\u00ad«»‹›ß")
+_UNIT = re.compile("[cdkmN]{0,2}m[²³]|[kM]Ω")
+# a sharp s read as the ligature fl: right as fl before most vowels, but not at these
+_SHARP = re.compile("ﬂ(?![aeiouyäöü\\w])|ﬂ(?=[b-df-hj-np-tv-xz])|(?:(?:[aA]u|[äÄ]u|[gG]r[oö]|[gG]rü|[sS]tra|[mM][aä]|[hH]ei|[wW]ei|ie|[fFsSbB]ü|[sS]to|[bB]lo|[dD]rei)ﬂ)(?=e)(?!eg)|[dD]reiﬂ(?=ig)")
+
+
+@lru_cache(maxsize=1)
+def _signs() -> dict[str, tuple[dict[str, str], re.Pattern, re.Pattern]]:
+    """Of every such reader: sign -> the letter meant, the signs that are surely wrong within or at the end of a word, and all of them."""
+    out = {}
+    for reader in SIGN_READERS:
+        meant = {}
+        for b in (0x9C, 0xDF, *range(0xE0, 0xF0), *range(0xF1, 0xF7), *range(0xF8, 0xFD)):
+            try:
+                sign = bytes([b]).decode(reader)
+            except UnicodeDecodeError:
+                continue
+            if sign not in _RIGHT_IN_WORD and ord(sign) not in LOOKALIKES and not ("ß" < sign <= "ÿ" and sign not in "÷þ"):
+                meant[sign] = bytes([b]).decode("cp1252")
+        sure = "".join(re.escape(c) for c in meant if c != "ﬂ")
+        end = "".join(c for c in meant if c != "ﬂ" and (c.isalpha() or c == "▀"))
+        # the sign first: it is rarer than the letter before it
+        within = re.compile(f"[{sure}](?<=[A-Za-zß-ÿ].)(?=[{sure}ﬂ]?[a-zß-ÿ])|[{sure}](?<=[A-Za-zß-ÿ][{sure}].)(?=[a-zß-ÿ])|[{end}](?<=[a-zß-ÿ]{{2}}.)(?!\\w)")
+        out[reader] = meant, within, re.compile(f"[{''.join(map(re.escape, meant))}](?:(?<=[A-Za-zß-ÿ].)|(?=[a-zß-ÿ]))")
+    return out
+
+
+_WORD = re.compile("\\S+")
+
+
+def _marks(line: str, reader: str) -> int:
+    """Signs of the line that this reader surely made of letters."""
+    n = len(_SHARP.findall(line)) if reader == "mac_roman" and "ﬂ" in line else 0
+    within = _signs()[reader][1]
+    return n + (sum(len(within.findall(w[0])) for w in _WORD.finditer(line) if not _UNIT.match(w[0])) if within.search(line) else 0)
+
+
+def single_letters(lines: list[str]) -> list[str | None]:
+    """Each line with single letters put right that a one-byte reader took for signs; None where there are none.
+
+    One reader is chosen for the page: that of the most such signs.  A sign
+    which alone could be right is put back in the lines that hold a sure one.
+    """
+    out: list[str | None] = [None] * len(lines)
+    marks = {reader: [0 if x.isascii() else _marks(x, reader) for x in lines] for reader in SIGN_READERS}
+    for reader in sorted(SIGN_READERS, key=lambda r: -sum(marks[r])):
+        meant, _, loose = _signs()[reader]
+        for i, n in enumerate(marks[reader]):
+            if n and out[i] is None:
+                out[i] = loose.sub(lambda m: meant[m[0]], lines[i])
+    return out
+
+
+def _maybe_signs() -> re.Pattern:
+    every = "".join(sorted({re.escape(c) for meant, _, _ in _signs().values() for c in meant}))
+    return re.compile(f"[{every}](?<=[A-Za-zß-ÿ].|[^\\x00-\\x7f].)")
+
+
+SIGNS = _maybe_signs()  # derived from the readers' tables
+
+
+def suspect(text: str | None) -> bool:
+    """Whether a search is due: false for null, empty and most sound texts."""
+    return bool(text) and bool(SUSPECT.search(text) or SIGNS.search(text))
+
 
 def restore(text: str | None) -> tuple[str | None, bool, bool]:
     """(text with garbled spans restored, whether any span was garbled, whether some of it is lost).
 
     Null gives (null, False, False); an empty or sound text comes back as it is.
     """
-    if not text or not SUSPECT.search(text):
+    if not suspect(text):
         return text, False, False
     out, garbled, gone = [], False, False
+    sound = []  # numbers of the lines that hold no longer garbled span
     for line in text.split("\n"):
         if not SUSPECT.search(line) or not SUSPECT.search(settled := settle(line)):
+            sound.append(len(out))
             out.append(line)
             continue
         body, tail = _cut_mark(settled)
@@ -350,6 +419,12 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
         if HARD.search(line) or (not hit and lost(settled)):
             garbled = True
             gone = gone or bool(HARD.search(fixed)) or not hit
+        elif not hit:
+            sound.append(len(out))
         garbled = garbled or hit
         out.append(fixed if hit else line)
+    if SIGNS.search(text):
+        for i, fixed in zip(sound, single_letters([out[i] for i in sound]), strict=True):
+            if fixed is not None:
+                out[i], garbled = fixed, True
     return "\n".join(out), garbled, gone

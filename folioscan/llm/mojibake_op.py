@@ -10,7 +10,7 @@ from folioscan.operators.arrow import flat_map
 
 
 def _kernel(key, text):
-    if text and mojibake.SUSPECT.search(text):
+    if mojibake.suspect(text):
         fixed, garbled, lost = mojibake.restore(text)
         if garbled:
             yield key, fixed, lost

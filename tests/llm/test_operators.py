@@ -188,6 +188,17 @@ def test_partly_garbled_and_lost(spark):
     assert mojibake_op.garbled(df.limit(0), "page_id", "raw").count() == 0 and mojibake_op.restored(df, "page_id", "raw").count() == 7
 
 
+@pytest.mark.parametrize("bad,good", [("Es ist zul‰ssig, sie w‰ren da.", "Es ist zulässig, sie wären da."), ("Die F÷rdertechnik steht.", "Die Fördertechnik steht."), ("Les clΘs sont là.", "Les clés sont là."), ("un mot franτais", "un mot français"), ("une boεte", "une boîte"), ("Das Auﬂenlager ist groﬂ.", "Das Außenlager ist groß."), ("La zone prÈvue", "La zone prévue"), ("des Lьfters", "des Lüfters")])
+def test_single_letters_misread(bad, good):
+    assert mojibake.restore(bad) == (good, True, False)
+    assert mojibake.restore("Sound first line.\n" + bad)[0] == "Sound first line.\n" + good
+
+
+@pytest.mark.parametrize("text", ["Die Auﬂage und die Oberﬂäche", "5 m³h und 3 kΩm", "mot‡ 5‰ 3÷4", "σmax, τmax und ΔT", "l’…été « là »", "pαge"])
+def test_right_signs_beside_letters(text):
+    assert mojibake.restore(text) == (text, False, False)
+
+
 # 5
 
 
