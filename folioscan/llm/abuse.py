@@ -56,7 +56,8 @@ def _any_thrice(text: str) -> bool:
 
 _THRICE = [c * 3 for c in map(chr, (*range(0x61, 0x7B), *range(0xDF, 0x100)))]
 _MAYBE_SPACED = re.compile(r"[.\-_*·~ /](?<=[^\W\d_].)[^\W\d_][.\-_*·~ /][^\W\d_]")
-_MAYBE_MIXED = re.compile("[0-9@$][a-zà-ÿ]")
+_MAYBE_MIXED = re.compile(r"[0-9@$](?:(?<=[^\W\d_].)|(?=[^\W\d]))")  # what every match of _MIXED holds: a digit or sign beside a letter, on either side
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def plain(text: str) -> str:
@@ -81,7 +82,7 @@ def sentences(text: str) -> list[str]:
         text = _KANA_GROUP.sub("某", _CJK_WRAP.sub("", text))
     text = _WORD_WRAP.sub("", text)
     text = _STAR.sub("", text)
-    return [s for s in _SENTENCE.split(text) if len(s) > 3]
+    return [s for s in _SENTENCE.split(text) if len(s) > 3 or (len(s) > 1 and _LETTER.search(s))]  # a Japanese sentence may have two characters
 
 
 def inner(word: str) -> list[str]:

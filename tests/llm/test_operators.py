@@ -316,6 +316,12 @@ def test_held_out_accuracy(model):
     assert [model.score(t) >= abuse.THRESHOLD for t in good] == [False] * len(good)
 
 
+def test_short_sentences_and_trailing_digits(model):
+    assert abuse.sentences("図面を見る。死ね。黙れ。殺すぞ。あ。\n\n--\n\n12") == ["図面を見る", "死ね", "黙れ", "殺すぞ"]
+    assert model.score("図面の写しを二部用意する。死ね。") == max(map(model.score, ("図面の写しを二部用意する。", "死ね。"))) >= abuse.THRESHOLD
+    assert [abuse.plain(w) for w in ("salop3", "merd3", "shi7", "b1tch", "1diot", "12 34")] == ["salope", "merde", "shit", "bitch", "idiot", "12 34"]
+
+
 def test_groups_alone_carry_no_weight(model):
     scores = [model.score(f"{g.capitalize()} work in the archive on Monday.") for g in abuse.GROUPS["en"]]
     assert max(scores) < abuse.THRESHOLD
