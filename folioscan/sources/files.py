@@ -137,9 +137,10 @@ def xls_rows(content: bytes) -> Iterator[tuple[str, int, str]]:
 
 
 def pdf_pages(content: bytes) -> Iterator[tuple[int, str]]:
-    """Text of each page by its layout, else plain; pages that fail are passed over."""
+    """Text of each page by its layout; plain if that fails or gives nothing, and then pages that fail are passed over."""
     from pdfminer.high_level import extract_pages, extract_text  # optional
     from pdfminer.layout import LTTextBoxVertical, LTTextContainer
+    from pdfminer.pdfpage import PDFPage
 
     from folioscan.sources.layout import ordered
 
@@ -150,24 +151,24 @@ def pdf_pages(content: bytes) -> Iterator[tuple[int, str]]:
             for x in node:
                 yield from boxes(x)
 
-    some = False
-    for n, page in enumerate(extract_pages(io.BytesIO(content)), 1):
-        text = ordered([(b.get_text(), b.x0, b.y0, b.x1, b.y1, isinstance(b, LTTextBoxVertical)) for b in boxes(page) if b.get_text().strip()], page.bbox)
-        if text:
-            some = True
-            yield n, text
-    if not some:
-        n = 0
-        while True:
-            try:
-                text = extract_text(io.BytesIO(content), page_numbers=[n])
-            except Exception:  # a damaged page is passed over
-                text = ""
-            if not text:
-                return
-            n += 1
-            if text.strip():
-                yield n, text.strip()
+    got = []
+    try:
+        for n, page in enumerate(extract_pages(io.BytesIO(content)), 1):
+            text = ordered([(b.get_text(), b.x0, b.y0, b.x1, b.y1, isinstance(b, LTTextBoxVertical)) for b in boxes(page) if b.get_text().strip()], page.bbox)
+            if text:
+                got.append((n, text))
+    except Exception:  # one damaged page ends the layout of all
+        got = []
+    if got:
+        yield from got
+        return
+    for n in range(sum(1 for _ in PDFPage.get_pages(io.BytesIO(content), check_extractable=False))):
+        try:
+            text = extract_text(io.BytesIO(content), page_numbers=[n])
+        except Exception:  # a damaged page is passed over
+            continue
+        if text and text.strip():
+            yield n + 1, text.strip()
 
 
 def row_pages(rows: Iterator[tuple[str, int, str]], size: int = ROWS_PER_PAGE) -> Iterator[tuple[str, str]]:

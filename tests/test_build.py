@@ -1,5 +1,7 @@
 import io
 import os
+import sys
+import types
 import zipfile
 
 from pyspark.sql import functions as F
@@ -45,6 +47,25 @@ def test_readers():
     assert list(files.extract_file("/a/x.txt", None))[0][5] == files.EMPTY_FILE
 
 
+def test_damaged_pdf_pages(monkeypatch):
+    def layout(_):
+        yield types.SimpleNamespace(bbox=(0, 0, 1, 1))
+        raise ValueError("damaged page")
+
+    def plain(_, page_numbers):
+        if page_numbers == [1]:
+            raise ValueError("damaged page")
+        return ["one\n", None, "", "four\n"][page_numbers[0]]
+
+    parts = {"high_level": {"extract_pages": layout, "extract_text": plain}, "layout": {"LTTextBoxVertical": tuple, "LTTextContainer": str}, "pdfpage": {"PDFPage": types.SimpleNamespace(get_pages=lambda *_, **__: iter(range(4)))}}
+    monkeypatch.setitem(sys.modules, "pdfminer", types.ModuleType("pdfminer"))
+    for name, members in parts.items():
+        module = types.ModuleType(f"pdfminer.{name}")
+        vars(module).update(members)
+        monkeypatch.setitem(sys.modules, f"pdfminer.{name}", module)
+    assert [r[1:5] for r in files.extract_file("/a/x.pdf", b"%PDF")] == [("1", 1, 0, "one"), ("4", 4, 1, "four")]
+
+
 def test_build_and_search(spark, tmp_path):
     docs = tmp_path / "docs" / "sub"
     docs.mkdir(parents=True)
