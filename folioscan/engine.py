@@ -84,12 +84,23 @@ class Engine:
         pages = inc.upsert(old_pages, refreshed, gone.join(old_pages.join(held, "folder_id", "left_semi").select("path").distinct(), "path", "left_anti"))
         missing = strikes.where("verdict = 'candidate'").select("path", F.col("deletion_candidate_since").alias("_since"))
         state = current.unionByName(old_state.join(missing, "path").drop("deletion_candidate_since").withColumnRenamed("_since", "deletion_candidate_since").select(*current.columns))
-        failures = inc.kept_failures(self._failures(fresh), pages)
+        # a held folder's state stays as it was, so that the next build sees again what changed meanwhile
+        kept = self._paths_of(held, old_pages, current.select("path").unionByName(old_state.select("path")))
+        state = state.join(kept, "path", "left_anti").select(*current.columns).unionByName(old_state.join(kept, "path", "left_semi").select(*current.columns))
+        failures = self._failures(fresh).join(kept, "path", "left_anti").unionByName(failed.join(kept, "path", "left_semi"))
+        failures = inc.kept_failures(failures, pages)
         return self._publish({"pages": pages, "file_state": state, "failures": failures}, now)
 
     def _failures(self, extracted: DataFrame) -> DataFrame:
         return extracted.where("reason is not null").select("path", "reason").distinct()
 
+    def _paths_of(self, held: DataFrame, pages: DataFrame, paths: DataFrame) -> DataFrame:
+        """(path) of the *held* folders: by the deepest configured folder above it, or by its page."""
+        f = F.broadcast(self.folders_table.select("folder_id", F.col("path").alias("_base")))
+        j = paths.distinct().join(f, F.startswith(F.col("path"), F.concat(F.regexp_replace("_base", "/+$", ""), F.lit("/"))))
+        owned = j.groupBy("path").agg(F.max_by("folder_id", F.struct(F.length("_base"), F.col("folder_id"))).alias("folder_id"))
+        return owned.select("path", "folder_id").unionByName(pages.select("path", "folder_id")).join(held, "folder_id", "left_semi").select("path").distinct()
+
     def _guard(self, pages: DataFrame, current: DataFrame, allow_shrink: bool) -> DataFrame:
         f = F.broadcast(self.folders_table.select("folder_id", F.col("path").alias("_base")))
         scanned = current.join(f, F.startswith(F.col("path"), F.concat("_base", F.lit("/")))).groupBy("folder_id").agg(F.countDistinct("path").alias("n_scanned"))

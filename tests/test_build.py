@@ -102,6 +102,23 @@ def test_build_and_search(spark, tmp_path):
     assert e.store.current() is not None
 
 
+def test_held_folder_is_read_later(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.txt").write_text("first text")
+    base = str(docs)
+    folders = spark.createDataFrame([("f1", base, "Docs", base, 0, True, None)], "folder_id string, path string, folder_name string, display_path string, folder_ord int, ready boolean, message string")
+    clock = iter(range(1_000_000, 2_000_000, 10))
+    e = Engine(spark, str(tmp_path / "store"), folders, clock=lambda: float(next(clock)))
+    e.build(base)
+    (docs / "a.txt").write_text("another text")
+    (docs / "b.txt").write_text("late text")
+    e.build(base)  # fewer files than the guard asks for: held
+    assert [r.raw for r in e.store.read("pages").collect()] == ["first text"] and e.store.read("file_state").count() == 1
+    e.build(base, allow_shrink=True)
+    assert sorted(r.raw for r in e.store.read("pages").collect()) == ["another text", "late text"]
+
+
 def test_guard(spark):
     counts = spark.createDataFrame([("a", 20, 0), ("b", 20, 15), ("c", 20, 16), ("d", 5, 4), ("e", 0, 0)], "folder_id string, n_cached long, n_scanned long")
     verdicts = lambda allow: {r.folder_id: r.verdict for r in inc.shrink_guard(counts, allow).collect()}
