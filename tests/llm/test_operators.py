@@ -106,6 +106,13 @@ def test_scan_noise(spark):
     assert scans.repaired(df.limit(0)).count() == 0
 
 
+def test_misread_words_whatever_the_size(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TOTAL_SHARE", 20)  # as if the words were so many that few are frequent enough for a vector
+    rows = [*scan_rows(), (900, "/d/x.pdf", "1", "The pnmp in building C was inspected.\nThe valve stands still.")]
+    got = {r.page_id: r for r in scans.repaired(spark.createDataFrame(rows, "page_id long, path string, page_key string, raw string")).collect()}
+    assert got[900].noise == ["misread"] and got[900].text.startswith("The pump in building C") and got[1].noise == ["header", "page_number"]
+
+
 @pytest.mark.parametrize("line,yes", [("― 24 ―", 1), ("- 3 -", 1), ("(9)", 1), ("[2]", 1), ("第3頁", 1), ("2ページ", 1), ("S. 5", 1), ("Page 4 of 4", 1), ("p. 1", 1), ("42/42", 1), ("iii", 1), (" —1—", 1), ("2019.", 0), ("3 units", 0), ("", 0), ("12に計上する。", 0)])
 def test_page_numbers(line, yes):
     assert scans.is_page_number(line) is bool(yes)
