@@ -11,9 +11,12 @@ alone carries no weight.  A document's score is that of its worst sentence.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,11 +27,14 @@ from folioscan.llm.lookalike import skeleton
 from folioscan.llm.seeds import ABUSIVE, GROUPS, SOBER
 from folioscan.operators.arrow import flat_map
 
-SAMPLE = 2_400  # rated documents the classifier is fitted on, by the hash of their id, up to half of them with a rating of abuse
-THRESHOLD = 0.12  # of the worst sentence's probability; chosen with PROMOTE on held-out ratings
-ROUNDS = 3
+SAMPLE = 20_000  # rated documents the classifier is fitted on, by the hash of their id, up to half of them with a rating of abuse
+SAMPLE_CHARS = 100_000  # a longer document isn't taken into the sample
+ROUNDS = 4
 KEPT_PARTS = 200_000  # words and runs whose part of the score a process remembers
+THRESHOLD = 0.06  # of the worst sentence's probability; chosen with PROMOTE on held-out ratings
 PROMOTE = 0.15  # score that the best sentence of a document rated abusive needs before it counts as the abusive one
+THIN = 8  # of the sentences of unabusive documents one in so many is in every fit, for the others too, which join it once they score HARD
+HARD = 0.005
 
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _CJK = "ぁ-ヿ㐀-鿿"
@@ -43,50 +49,59 @@ _WORD = re.compile("[a-zà-ÿœ'’]+|[0-9]+")
 _CJK_RUN = re.compile(f"[{_CJK}]+")
 _CJK_WRAP = re.compile(f"(?<=[{_CJK}、。])\r?\n(?=[{_CJK}])")
 _WORD_WRAP = re.compile("(?<=[a-zà-ÿ])[-¬‐]\n(?=[a-zà-ÿ])")
-_KANA_GROUP = re.compile("[ァ-ヴー]{2,}(?=人|族|派|教徒)")
+_KANA_GROUP = re.compile("[ァ-ヴー]{2,}(?:人|族|派|教徒)")
 _LONG_RUN = re.compile(r"([a-zß-ÿ])\1{2,}")
 
 
-def _any_thrice(text: str) -> bool:
-    for c in _THRICE:
-        if c in text:
-            return True
-    return False
-
-
-_THRICE = [c * 3 for c in map(chr, (*range(0x61, 0x7B), *range(0xDF, 0x100)))]
 _MAYBE_SPACED = re.compile(r"[.\-_*·~ /](?<=[^\W\d_].)[^\W\d_][.\-_*·~ /][^\W\d_]")
-_MAYBE_MIXED = re.compile(r"[0-9@$](?:(?<=[^\W\d_].)|(?=[^\W\d]))")  # what every match of _MIXED holds: a digit or sign beside a letter, on either side
+_MAYBE_MIXED = re.compile(r"[0-9@$](?:(?<=[a-zà-ÿ].)|(?=[a-zà-ÿ]))")  # a digit or sign beside a Latin letter, on either side
 _LETTER = re.compile(r"[^\W\d_]")
+_TOKEN_END = re.compile(r"[\w@$]*")
+
+
+def _undigit(text: str) -> str:
+    """Words with a digit or sign for a letter written with the letter; only the words around such marks are looked at."""
+    out, at = [], 0
+    for m in _MAYBE_MIXED.finditer(text):
+        a = m.start()
+        if a < at:
+            continue
+        b = _TOKEN_END.match(text, a).end()
+        while a > at and (text[a - 1].isalnum() or text[a - 1] in "_@$"):
+            a -= 1
+        fixed = _MIXED.sub(lambda w: w[0].translate(_LEET), text[a:b])
+        out += [text[at:a], fixed]
+        at = b
+    return "".join(out) + text[at:]
 
 
 def plain(text: str) -> str:
-    """Text without disguise: width, look-alike letters, leet digits, spaced or stretched words."""
+    """Text without disguise: width, look-alike letters, leet digits, spaced words."""
     text = skeleton(text)
     if _MAYBE_SPACED.search(text):
         text = _SPACED.sub(lambda m: m[1] + re.sub(r"[^\w]|_", "", m[2]) if not (" " in m[2] and m[0].isupper()) else m[0], text)
     text = text.lower()
-    if _MAYBE_MIXED.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_LEET), text)
+    text = _undigit(text)
     if "ヒ" in text:
         text = text.replace("タヒ", "死")
     if not text.isascii():
         whole = text
         text = _CJK_GAP.sub(lambda m: "" if m.start() and _IS_CJK.match(whole, m.start() - 1) else m[0], whole)
-    return _LONG_RUN.sub(r"\1", text) if _any_thrice(text) else text
+    return text
 
 
 def sentences(text: str) -> list[str]:
     text = plain(text).replace("\r", "")
     if not text.isascii():
-        text = _KANA_GROUP.sub("某", _CJK_WRAP.sub("", text))
+        text = _CJK_WRAP.sub("", text)
     text = _WORD_WRAP.sub("", text)
     text = _STAR.sub("", text)
     return [s for s in _SENTENCE.split(text) if len(s) > 3 or (len(s) > 1 and _LETTER.search(s))]  # a Japanese sentence may have two characters
 
 
 def inner(word: str) -> list[str]:
-    """The word and, of a longer one, its 4-letter pieces with doubled letters made single."""
+    """The word without stretched letters and, of a longer one, its 4-letter pieces with doubled letters made single."""
+    word = _LONG_RUN.sub(r"\1", word)
     if len(word) <= 4:
         return [word]
     w = _RUN.sub(r"\1", word)
@@ -115,17 +130,73 @@ def features(sentence: str) -> list[str]:
     return out
 
 
+_TOKEN = re.compile("[a-zà-ÿœ'’]+|[0-9](?![0-9])")  # of a number its last digit, which stands for it
+
+
+class _Parts(dict):
+    """Word -> its part of a sentence's sum, kept once it was worked out."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, w: str) -> float:
+        get = self.weights.get
+        part = get("0", 0.0) if w[0] <= "9" else sum([get(f, 0.0) for f in inner(w)])
+        if len(self) < KEPT_PARTS:
+            self[w] = part
+        return part
+
+
+class _Pieces:
+    """Sums over the 2- and 3-character pieces of Japanese text, many sentences at a time."""
+
+    def __init__(self, weights: dict[str, float]):
+        runs = {f: x for f, x in weights.items() if _IS_CJK.match(f)}
+        chars = sorted({c for f in runs for c in f})
+        self.n = n = len(chars) + 1
+        self.ids = np.zeros(65536, np.int32)  # 0: in no piece
+        self.ids[[ord(c) for c in chars]] = np.arange(1, n)
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        self.two = np.zeros((n, n), np.float32)
+        self.more = np.zeros((n, n), bool)  # whether a longer piece begins so
+        three = {}
+        for f, x in runs.items():
+            at = [number[c] for c in f]
+            if len(f) == 2:
+                self.two[at[0], at[1]] = x
+            else:
+                self.more[at[0], at[1]] = True
+                three[(at[0] * n + at[1]) * n + at[2]] = x
+        self.keys = np.array(sorted(three), np.int64)
+        self.three = np.array([three[k] for k in sorted(three)], np.float32)
+
+    def sums(self, ss: list[str]) -> np.ndarray:
+        points = np.frombuffer(("\n".join(ss) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = self.ids[np.minimum(points, 65535)]
+        a, b, c = ids[:-2], ids[1:-1], ids[2:]
+        part = self.two[a, b].astype(np.float64)
+        at = np.flatnonzero(self.more[a, b])
+        if len(at):
+            key = (a[at].astype(np.int64) * self.n + b[at]) * self.n + c[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            part[at] += np.where(self.keys[place] == key, self.three[place], 0.0)
+        ends = np.cumsum([len(s) + 1 for s in ss])
+        return np.add.reduceat(part, np.concatenate([[0], ends[:-1]])) if len(ss) else np.empty(0)
+
+
 class Model:
     """Weights by feature; the score of a sentence is a probability."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._parts: dict[str, float] = {}
-        self._after: dict[str, dict[str, float]] = {}
+        self._parts, self._pieces = _Parts(weights), _Pieces(weights)
+        self._pairs: dict[tuple[str, str], float] = {}
+        digits = "0123456789"
         for f, x in weights.items():
             if " " in f:
                 first, second = f.split(" ", 1)
-                self._after.setdefault(first, {})[second] = x
+                self._pairs |= {(a, b): x for a in (digits if first == "0" else (first,)) for b in (digits if second == "0" else (second,))}
 
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias}
@@ -133,51 +204,37 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state["weights"], state["bias"])
 
-    def sentence(self, s: str) -> float:
-        """The sum over features(), with the part of a word kept once it was worked out."""
-        get, known, after = self.weights.get, self._parts, self._after
-        z, last = self.bias, after.get("^")
-        if not s.isascii():
-            for run in _CJK_RUN.findall(s):
-                part = known.get(run)
-                if part is None:
-                    part = sum([get(run[i : i + 2], 0.0) + get(run[i : i + 3], 0.0) for i in range(len(run) - 2)]) + (get(run[-2:], 0.0) if len(run) > 1 else 0.0)
-                    if len(known) < KEPT_PARTS:
-                        known[run] = part
-                z += part
-        for w in _WORD.findall(s):
-            if w[0] <= "9":
-                w = "0"
-            part = known.get(w)
-            if part is None:
-                part = sum([get(f, 0.0) for f in inner(w)])
-                if len(known) < KEPT_PARTS:
-                    known[w] = part
-            z += part
-            if last is not None and (x := last.get(w)) is not None:
-                z += x
-            last = after.get(w)
-        return z
+    def logits(self, ss: list[str]) -> np.ndarray:
+        """Of each sentence the bias and the sum over features(), by words, pairs of words and pieces of Japanese text."""
+        part, pair = self._parts.__getitem__, self._pairs.get
+        out = np.full(len(ss), self.bias)
+        for i, s in enumerate(ss):
+            if found := _TOKEN.findall(s):
+                out[i] += sum(map(part, found)) + sum(map(pair, zip(["^", *found], found, strict=False), _ZEROS))
+        wide = [i for i, s in enumerate(ss) if not s.isascii()]
+        if wide:
+            out[wide] += self._pieces.sums([ss[i] for i in wide])
+        return out
 
     def score(self, text: str | None) -> float:
         """0 for null and empty texts, else the worst sentence's probability."""
-        if not text:
-            return 0.0
-        worst = max(map(self.sentence, sentences(text)), default=-30.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, worst))))
+        worst = self.logits(sentences(text)).max(initial=-30.0) if text else -math.inf
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, worst)))) if text else 0.0
 
 
+_ZEROS = itertools.repeat(0.0)
 _GROUP = re.compile("|".join(rf"\b{re.escape(g)}\b" if g.isascii() or g[0] < "　" else re.escape(g) for g in sorted(sum(GROUPS.values(), []), key=len, reverse=True)))
 _LANG_OF = {g: lang for lang, names in GROUPS.items() for g in names}
 
 
 def counterfactuals(sentence: str, rng: random.Random, n: int = 2) -> list[str]:
     """The sentence with the group of people it names swapped for others of its language."""
-    m = _GROUP.search(sentence)
-    if not m:
-        return []
-    others = [g for g in GROUPS[_LANG_OF[m[0]]] if g != m[0]]
-    return [_GROUP.sub(g, sentence) for g in rng.sample(others, min(n, len(others)))]
+    for pattern in (_GROUP, _KANA_GROUP):
+        m = pattern.search(sentence)
+        if m:
+            others = [g for g in GROUPS[_LANG_OF.get(m[0], "ja")] if g != m[0]]
+            return [pattern.sub(g, sentence) for g in rng.sample(others, min(n, len(others)))]
+    return []
 
 
 class _Rows:
@@ -220,52 +277,64 @@ def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, pairs: tuple[_Rows, _Ro
     return w
 
 
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def train(rated: list[tuple[str, float]]) -> Model:
-    """*rated*: (text, share of raters that found it abusive)."""
+    """*rated*: (text, share of raters that found it abusive).
+
+    All sentences of documents rated abusive are in every fit; of the far more
+    numerous others one in THIN, which stands for the rest, and each that scored
+    HARD or more in a round before: so all of them are scored and none that
+    looks abusive is left out.
+    """
     rng = random.Random(7)
-    docs = [(sentences(t), r) for t, r in rated if t]
     pool: dict[str, int] = {}
-    of_doc = []
-    for ss, r in docs:
-        of_doc.append(([pool.setdefault(s, len(pool)) for s in ss], r))
+    of_doc = [([pool.setdefault(s, len(pool)) for s in sentences(t)], r) for t, r in rated if t]
     texts = list(pool)
+    clean = Counter(i for ids, r in of_doc if r == 0 for i in set(ids))  # sentence -> unabusive documents that hold it
+    accused = sorted({i for ids, r in of_doc if r > 0 for i in ids})
+    thin = sorted(i for i in clean.keys() - set(accused) if clean[i] > 1 or zlib.crc32(texts[i].encode()) % THIN == 0)
+    spare = np.array(sorted(clean.keys() - set(accused) - set(thin)), np.int64)
     seeds = [(plain(s), 1.0) for s in ABUSIVE] + [(plain(s), 0.0) for s in SOBER] + [("", 0.0)]
-    bags = [features(s) for s in texts]
     seed_bags = [features(s) for s, _ in seeds]
-    df = Counter(f for b in bags for f in b)
     seeded = {f for b in seed_bags for f in b}
-    names = ["\0", *sorted(f for f in {*df, *seeded} if df[f] >= 2 or f in seeded)]
-    vocabulary = {f: i for i, f in enumerate(names)}
-    size = len(names)
-    rows = _Rows(bags + seed_bags, vocabulary)
-    clean: set[int] = {i for ids, r in of_doc if r == 0 for i in ids}
-    y = np.zeros(len(texts) + len(seeds))
-    weight = np.zeros(len(y))
-    y[len(texts) :] = [v for _, v in seeds]
-    weight[len(texts) :] = 3.0
-    weight[list(clean)] = 1.0
-    weight[-1] = 0.05 * len(texts)  # a fragment without a known word isn't abusive
-    swapped = [(s, c) for s in [*texts, *(s for s, _ in seeds)] for c in counterfactuals(s, rng)]
-    pairs = (_Rows([features(a) for a, _ in swapped], vocabulary), _Rows([features(b) for _, b in swapped], vocabulary)) if swapped else None
-    w = _fit(rows, y, weight, pairs, size, np.zeros(size + 1), steps=60)
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(rows.dot(w[:-1]) + w[-1], -30, 30)))
-        y[: len(texts)], weight[: len(texts)] = 0.0, 0.0
-        for ids, r in of_doc:
-            if not ids:
+    bag = functools.cache(lambda i: features(texts[i]))
+    hard: list[int] = []
+    model, p = None, {}
+    for step in range(ROUNDS + 1):
+        chosen = [*accused, *thin, *hard]
+        bags = [bag(i) for i in chosen]
+        df = Counter(f for b in bags for f in set(b))
+        names = ["\0", *sorted(f for f in {*df, *seeded} if df[f] >= 2 or f in seeded)]
+        vocabulary = {f: i for i, f in enumerate(names)}
+        at = {i: n for n, i in enumerate(chosen)}
+        y = np.array([0.0] * len(chosen) + [v for _, v in seeds])
+        weight = np.array([float(clean[i]) for i in chosen] + [3.0] * len(seeds))
+        for i in thin:
+            if clean[i] == 1:
+                weight[at[i]] = THIN
+        weight[-1] = 0.05 * weight.sum()  # a fragment without a known word isn't abusive
+        for ids, r in of_doc if step > 1 else ():
+            if r == 0 or not ids:
                 continue
-            if r > 0:
-                top = max(ids, key=lambda i: p[i])
-                # a rating may err: a document none of whose sentences stands out teaches nothing
-                for i in ids:
-                    if p[i] >= 0.5 or (i == top and p[i] >= PROMOTE and i not in clean):
-                        y[i], weight[i] = 1.0, 4.0 * (0.5 + 0.5 * r)
-            else:
-                for i in ids:
-                    if p[i] < 0.9 and y[i] == 0:
-                        weight[i] = 1.0
-        w = _fit(rows, y, weight, pairs, size, w, steps=80)
-    return Model({f: float(x) for f, x in zip(names, w[:-1], strict=True) if abs(x) > 1e-3}, float(w[-1]))
+            top = max(ids, key=p.__getitem__)
+            # a rating may err: a document none of whose sentences stands out teaches nothing
+            for i in ids:
+                if not clean[i] and (p[i] >= 0.5 or (i == top and p[i] >= PROMOTE)):
+                    y[at[i]], weight[at[i]] = 1.0, 4.0 * (0.5 + 0.5 * r)
+        swapped = [(s, c) for s in [*(texts[i] for i in chosen if p.get(i, 1.0) >= HARD), *(s for s, _ in seeds)] for c in counterfactuals(s, rng)]
+        pairs = (_Rows([features(a) for a, _ in swapped], vocabulary), _Rows([features(b) for _, b in swapped], vocabulary)) if swapped else None
+        start = np.array([0.0, *(model.weights.get(f, 0.0) for f in names[1:]), model.bias]) if model else np.zeros(len(names) + 1)
+        w = _fit(_Rows(bags + seed_bags, vocabulary), y, weight, pairs, len(names), start, steps=60)
+        model = Model({f: float(x) for f, x in zip(names, w[:-1], strict=True) if abs(x) > 1e-3}, float(w[-1]))
+        p = {i: x for i, x in zip(accused, _probability(model.logits([texts[i] for i in accused])).tolist(), strict=True)}
+        if step < ROUNDS and len(spare):
+            now = _probability(model.logits([texts[i] for i in spare.tolist()])) >= HARD
+            hard += spare[now].tolist()
+            spare = spare[~now]
+    return model
 
 
 def rated_texts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, float]]:
@@ -276,8 +345,9 @@ def rated_texts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     order = (F.xxhash64("doc_id"), "doc_id")
     some = rating.where("share > 0").orderBy(*order).limit(sample // 2)
     none = rating.where("share = 0").orderBy(*order).limit(sample // 2)
-    chosen = some.unionByName(none)
-    return [(r.text, r.share) for r in documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toLocalIterator()]
+    chosen = some.unionByName(none)  # at most *sample* short rows: small enough to broadcast
+    held = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
+    return [(r.text, r.share) for r in held.join(F.broadcast(chosen), "doc_id").select("text", "share").collect()]
 
 
 def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
