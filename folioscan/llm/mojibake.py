@@ -18,14 +18,17 @@ from folioscan.llm.lookalike import INVISIBLE, LOOKALIKES, skeleton
 
 # Encodings a span may have been read with, and encodings its
 # bytes may really have been in.
-WRONG_READERS = ("cp1252", "latin-1", "cp932", "cp437", "cp850", "mac_roman", "cp1251", "euc_jp", "gbk")
+WRONG_READERS = ("cp1252", "latin-1", "cp932", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "euc_jp", "gbk")
 TRUE_WRITERS = ("utf-8", "cp932", "euc_jp", "cp1252")
 
-MAX_EXPANDED = 24  # states expanded for one span
+MAX_EXPANDED = 24  # states expanded for one span; see the README for what a larger number finds
+MAX_DEPTH = 4  # steps on a path
 STEP_COST = 0.25  # added for each step, so that the shortest of equal paths wins
 OTHER_COST = 0.3  # added for a step to another encoding than UTF-8, which seldom fits by chance
-MIN_GAIN = 0.9  # cost a repair has to save before its span counts as garbled
+MIN_GAIN = 0.6  # cost a repair has to save before its span counts as garbled
+ODD = 0.5  # cost beyond that of everyday characters from which on a line is searched
 MAX_KEPT = 0.45  # share of the old cost that may be left after a repair
+MAX_ODD = 0.2  # share of the old oddness that may be left where the cost of everyday letters hides the gain
 RESIDUE = 0.55  # mean cost of the non-ASCII characters above which a span is garbled for good
 
 def _second_level() -> str:
@@ -38,16 +41,8 @@ def _second_level() -> str:
 
 
 _J2 = _second_level()
-# A page without any of these needs no search.
-SUSPECT = re.compile(
-    "[\u0080-\u009f\ufffd\ue000-\uf8ff\u2550-\u259f]"
-    "|[À-ÿŒœŠšŸŽžƒˆ˜][\u0080-¿ŒŠšŸŽžƒˆ˜–-›€™]"
-    "|[A-Za-z][ⁿΘΦΣ÷Ω⌠√∩³þÞ‰ˆ‡¸]|[ⁿΘΦΣΩ⌠∩þÞ‰ˆ‡¸][a-z]|√[^ \\d]|‚Ä|„[ÅÇÉ]|[a-z][À-ÖØ-Þ](?=[a-z ])"
-    "|[¡-ÿ]{3}|[À-ÞŒ‚ƒ„†‡ˆŠŽ][0-9]|[0-9] ?[øúÇÔ╛║░▀]|[a-z][░▀├┬╡]|┬|├"
-    "|[\u0400-\u04ff][€-™\u00a0-»‚„…†‡‰‹›•]|[A-Za-z][бгджзийлфцчшщъыьэюя]|[бгджзийлфцчшщъыьэюя][A-Za-z]|Ђ|[\u0370-\u03ff][^\x00-\x7f\u0370-\u03ff\u3000-\u9fff]"
-    f"|[{_J2}][{_J2}｡-ﾟA-Za-z]|[｡-ﾟ][一-鿿]|[一-鿿][｡-ﾟ]|[A-Za-z][一-鿿][A-Za-z]|[｡､･｢｣][ｦ-ﾟ]|[ｦ-ﾟ][ 0-9]*[､･｡｢]|ﾂ[｡-ﾟ]|[縺繧繝蜀][^ ]"
-    "|\\$[B@][!-~]{2}|&#?[0-9A-Za-z]{2,8};|\\\\u[0-9A-Fa-f]{4}|%[0-9A-F]{2}%[0-9A-F]{2}|=[0-9A-F]{2}=[0-9A-F]{2}"
-)
+# What the unescape steps undo.
+ESCAPED = re.compile("\\$[B@][!-~]{2}|&#?[0-9A-Za-z]{2,8};|\\\\u[0-9A-Fa-f]{4}|%[0-9A-F]{2}%[0-9A-F]{2}|=[0-9A-F]{2}=[0-9A-F]{2}")
 HARD = re.compile("[\u0080-\u0084\u0086-\u009f�-]")
 _JIS = re.compile("\x1b?\\$[B@]((?:[!-~]{2})+?)\x1b?\\([BJ]")
 _U = re.compile(r"\\u([0-9A-Fa-f]{4})")
@@ -59,7 +54,7 @@ _QP = re.compile("(?:=[0-9A-F]{2})+")
 def _single_byte() -> dict[str, tuple[frozenset[str], dict[int, int]]]:
     """Character -> byte of every one-byte reader; undefined bytes stand for themselves."""
     out = {}
-    for enc in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251"):
+    for enc in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250"):
         table = {}
         for b in range(256):
             try:
@@ -82,7 +77,7 @@ def _rare_kanji(ch: str) -> bool:
     return b[0] > 0x98 or (b[0] == 0x98 and b[1] > 0x72)
 
 
-# Classes: a ASCII, l accented letter, s Latin-1 sign, k kana, j everyday kanji, J rare kanji,
+# Classes: a ASCII, l accented letter, m accented letter of other languages than English, German and French, s Latin-1 sign, k kana, j everyday kanji, J rare kanji,
 # h half-width kana, c control or lost, p private, b box, g Greek or Cyrillic, w wide form, q fine sign, o other.
 @lru_cache(maxsize=65536)
 def char_class(ch: str) -> str:
@@ -92,6 +87,8 @@ def char_class(ch: str) -> str:
     if o < 0xA0 or o == 0xFFFD:
         return "c"
     if o < 0x100:
+        if ch in "ÁÌÍÐÑÒÓÕÝÞáìíðñòóõýþÆæÅåÃãÚúØø":
+            return "m"
         return "l" if o >= 0xC0 and o not in (0xD7, 0xF7) else "q" if ch in " £§­°µ«»±º×" else "s"
     if 0x3040 <= o <= 0x30FF or 0x3000 <= o <= 0x303F or o in (0xFF70, 0x2103):
         return "h" if o == 0xFF70 else "k"
@@ -119,27 +116,55 @@ class _Classes(dict):
 
 
 _CLASSES = _Classes()
-COST = {"a": 0.0, "A": 0.0, "k": 0.0, "j": 0.05, "l": 0.15, "q": 0.1, "h": 0.5, "s": 0.9, "J": 0.8, "c": 3.0, "p": 2.0, "b": 1.0, "g": 0.5, "o": 0.9}
+COST = {"a": 0.0, "A": 0.0, "k": 0.0, "j": 0.05, "l": 0.15, "m": 0.4, "q": 0.1, "h": 0.5, "s": 0.9, "J": 0.8, "c": 3.0, "p": 2.0, "b": 1.0, "g": 0.5, "o": 0.9}
 # A neighbour that a sound text seldom puts there.
 PAIR = {
     "lq": 0.9, "ls": 1.0, "ll": 0.5, "sl": 0.6, "ql": 0.4, "lo": 1.0, "ol": 0.8, "hj": 0.6, "jh": 0.6, "hJ": 0.6, "Jh": 0.6,
     "hA": 0.3, "Jk": 0.1, "jA": 0.6, "Aj": 0.6, "gq": 0.8, "gs": 0.9, "go": 0.8, "og": 0.8, "gl": 0.9, "lg": 0.9, "bA": 0.8, "Ab": 0.8, "bl": 0.8,
     "lb": 0.8, "bq": 0.3, "qb": 0.3, "bg": 0.8, "gb": 0.8, "oq": 0.4, "sq": 0.5, "qs": 0.4, "JA": 0.5, "AJ": 0.5, "Ah": 0.3, "Ag": 0.4, "gA": 0.4,
-    "Ao": 0.4, "oA": 0.4, "kl": 0.5, "lk": 0.5, "jl": 0.5, "lj": 0.5, "Jl": 0.5, "lJ": 0.5, "hk": 0.1, "kh": 0.1,
+    "mq": 0.9, "ms": 1.0, "mm": 0.5, "ml": 0.5, "lm": 0.5, "sm": 0.6, "qm": 0.4, "mo": 1.0, "om": 0.8, "gm": 0.9, "mg": 0.9, "bm": 0.8, "mb": 0.8, "km": 0.5, "mk": 0.5, "jm": 0.5, "mj": 0.5, "Jm": 0.5, "mJ": 0.5, "Ao": 0.4, "oA": 0.4, "kl": 0.5, "lk": 0.5, "jl": 0.5, "lj": 0.5, "Jl": 0.5, "lJ": 0.5, "hk": 0.1, "kh": 0.1,
 }
-_UPPER_IN_WORD = re.compile("[a-zß-ÿ][À-Þ]|[À-Þ][0-9]|[0-9][À-Þß-ÿ]|(?<=[ \n])[à-ÿ](?=[ ,.;]?\\d)")
+_UPPER_IN_WORD = re.compile("[a-zß-ÿ][À-Þ]|[À-Þ][0-9]|[0-9][À-Þß-ÿ]|[A-Z][À-Þ][a-z]")
+# Letters where a mark or a sign should stand: alone, before a figure, behind the end of a sentence; half-width kana squeezed before Latin text.
+_MISPLACED = re.compile(
+    "(?<=\\s)[ÁÂ-ÓÕ-ßáâ-ïñ-óõ-ÿĀ-ſƒ](?!\\S)|(?<!\\S)[ÁÂ-ÓÕ-ßáâ-ïñ-óõ-ÿĀ-ſƒ](?=\\s)|(?<![^\\s(])[Á-Þßá-ÿЀ-ѿ](?= ?[0-9])|(?<=[.,!?;:])[ß-ÿÀ-Þ](?!\\S)|(?<!\\S)[ìíòóúñ](?=[A-Za-z])|(?<![^\\s(])[｡-ﾟ]{1,2}(?=[0-9A-Za-z])|(?<=[A-Za-z])[…‚„†‡‰‹](?=[.,a-z])"
+)
+MISPLACED_COST = 0.9
+_CYRILLIC_WORD = re.compile("\\b(?=\\w*[аеиоуыэюяё])[А-ЯЁ]?[а-яё]{3,}\\b")
 
 
 def cost(text: str) -> float:
     """Character-plausibility cost: 0 for sound text, about 1 for each character that cannot be right."""
+    escapes = sum(1.2 + 0.06 * len(x) for x in _JIS.findall(text)) if "$" in text else 0.0
     if text.isascii():
-        return 3.0 * sum(1 for c in text if c < " " and c not in "\t\n\r") + 1.2 * len(_JIS.findall(text))
+        return 3.0 * sum(1 for c in text if c < " " and c not in "\t\n\r") + escapes
+    return _weighed(text, COST, PAIR) + escapes
+
+
+def oddness(text: str) -> float:
+    """The cost without what everyday letters and kanji add up to in a long text."""
+    return 0.0 if text.isascii() else _weighed(text, _ODD, _ODD_PAIR)
+
+
+def _weighed(text: str, of: dict[str, float], pairs: dict[str, float]) -> float:
     classes = text.translate(_CLASSES)
     there = set(classes)
-    total = sum(COST[c] * classes.count(c) for c in there if COST[c])
-    total += sum(v * classes.count(p) for p, v in PAIR.items() if p[0] in there and p[1] in there)
-    total += 0.8 * len(_UPPER_IN_WORD.findall(text))
-    return total + 1.2 * len(_JIS.findall(text))
+    if there <= {"h", "a"} and classes.count("h") > 2:
+        return 0.05 * classes.count("h")  # nothing but half-width kana
+    if "g" in there:
+        classes = _CYRILLIC_WORD.sub(lambda m: "k" * len(m[0]), text).translate(_CLASSES)
+        there = set(classes)
+    total = sum(of[c] * classes.count(c) for c in there if of[c])
+    for p, v in pairs.items():
+        if p[0] in there and p[1] in there:
+            total += v * classes.count(p)
+    if not there.isdisjoint("lmghsoq"):
+        total += 0.8 * len(_UPPER_IN_WORD.findall(text)) + MISPLACED_COST * len(_MISPLACED.findall(text))
+    return total
+
+
+_ODD = COST | {"j": 0.0, "l": 0.0, "q": 0.0, "J": 0.3}  # names hold rare kanji now and then
+_ODD_PAIR = {p: v for p, v in PAIR.items() if p != "ql"}  # as in l’été
 
 
 def _bytes_of(text: str, reader: str) -> bytes | None:
@@ -218,7 +243,9 @@ def search(span: str) -> tuple[str, float, float]:
             c = cost(nxt) + paid + step
             if c < best_cost:
                 best, best_cost = nxt, c
-            if depth < 3 and c < start * 1.6 + 1:
+                if c < start and oddness(nxt) == 0 and "\ufffd" not in nxt and not ESCAPED.search(nxt):
+                    return best, start, best_cost  # nothing is left to put right
+            if depth < MAX_DEPTH - 1 and paid + step + STEP_COST < best_cost and c < start * 1.6 + 1:
                 tie += 1
                 heapq.heappush(frontier, (c, paid + step, depth + 1, tie, nxt))
     return best, start, best_cost
@@ -231,19 +258,22 @@ _FAMILIES = (
     re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™…‰†‡•\ufffd]+"),
     re.compile("[ -~\u0080-ÿƒ\u0370-\u03ff\u2190-\u25ffⁿ₧]+"),
     re.compile("[\u0080-ÿƒ\u0370-\u03ff\u2190-\u25ffⁿ₧]+"),
+    re.compile("[ -~\u0080-ſ–-›€™…‰†‡•˙˛ˇ˘˝\ufffd]+"),
+    re.compile("[\u0080-ſ–-›€™…‰†‡•˙˛ˇ˘˝\ufffd]+"),
     re.compile("[ -~\u0400-\u04ff\u00a0-»–-›€№™†‡…‰•\ufffd]+"),
     re.compile("[\u3000-\u9fff\uf900-\ufaff\uff00-\uff9f\ue000-\uf8ff\u0080\ufffd\u0370-\u04ff\u2200-\u22ff\u25a0-\u266f]+"),
 )
 
 
-def _accepted(before: float, after: float) -> bool:
-    return before - after >= MIN_GAIN and after - STEP_COST <= MAX_KEPT * before
+def _accepted(before: float, after: float, old: str = "", new: str = "") -> bool:
+    """Whether a repair saves enough: most of the cost, or nearly all that is odd where the everyday letters around it are many."""
+    return before - after >= MIN_GAIN and (after - STEP_COST <= MAX_KEPT * before or oddness(new) < MAX_ODD * oddness(old))
 
 
 def repair_span(span: str) -> tuple[str, bool]:
     """One line: as a whole, else by its runs of characters of one kind."""
     best, before, after = search(span)
-    if _accepted(before, after):
+    if _accepted(before, after, span, best):
         if "�" not in best or "�" in span:
             return best, True
     changed = False
@@ -251,10 +281,10 @@ def repair_span(span: str) -> tuple[str, bool]:
     for runs in _FAMILIES:
         parts, at = [], 0
         for m in runs.finditer(out):
-            if m[0].isascii() or cost(m[0]) < MIN_GAIN:
+            if m[0].isascii() or cost(m[0]) < MIN_GAIN + STEP_COST or oddness(m[0]) < ODD:
                 continue
             got, b, a = search(m[0])
-            if got != m[0] and _accepted(b, a) and ("\ufffd" not in got or "\ufffd" in m[0]):
+            if got != m[0] and _accepted(b, a, m[0], got) and ("\ufffd" not in got or "\ufffd" in m[0]):
                 parts += [out[at : m.start()], got]
                 at, changed = m.end(), True
         if parts:
@@ -263,7 +293,7 @@ def repair_span(span: str) -> tuple[str, bool]:
         got, hit = _zone(out, m.start(), m.end())
         if hit:
             out, changed = got, True
-    if not changed and best != span and _accepted(before, after):
+    if not changed and best != span and _accepted(before, after, span, best):
         return best, True  # a tail was cut: what is left of it stays marked
     return out, changed
 
@@ -301,7 +331,9 @@ def lost(span: str) -> bool:
 
 
 _KANA, _HALF = re.compile("[\u3041-\u30fa]"), re.compile("[\uff66-\uff9f]")
-_CP1251 = re.compile("[ВГвгдежзий][Ѐ-ЏђѓєїљњћќўџҐґ‚„…†‡€‰‹›•™©®¬±¶·№¤¦§\u00a0]")
+_CONTINUED = "".join(re.escape(c) for c in map(chr, sorted({ord(bytes([b]).decode("cp1251", "ignore") or "\x98") for b in range(0x80, 0xC0)})) if ord(c) not in LOOKALIKES)
+_CP1251 = re.compile(f"[ВГвгдежзий][{_CONTINUED}]")  # the first of two or more bytes of UTF-8, and a byte that goes on
+_SQUEEZED = re.compile("(?<![^\\s(])[｡-ﾟ]{1,2}(?=[0-9A-Za-z])")
 _CP437 = re.compile("[σπΣτΘΦ][^\x00-\x7f\u0370-\u03ff]")
 
 
@@ -312,7 +344,7 @@ def settle(line: str) -> str:
         line = re.sub("[─│┌┐└┘├┤┬┴┼]", "", line)
     if not HARD.search(line):
         half = len(_HALF.findall(line))
-        if half and len(_KANA.findall(line)) >= half or not half and not _CP1251.search(line) and not _CP437.search(line) and not SUSPECT.search(line.translate(LOOKALIKES)):
+        if half and len(_KANA.findall(line)) >= half and not _SQUEEZED.search(line) or not half and not _CP1251.search(line) and not _CP437.search(line) and oddness(line.translate(LOOKALIKES)) < ODD:
             return skeleton(line)
     return line
 
@@ -391,40 +423,47 @@ def _maybe_signs() -> re.Pattern:
 SIGNS = _maybe_signs()  # derived from the readers' tables
 
 
-def suspect(text: str | None) -> bool:
-    """Whether a search is due: false for null, empty and most sound texts."""
-    return bool(text) and bool(SUSPECT.search(text) or SIGNS.search(text))
+def restore(text: str | None) -> tuple[str | None, bool, bool]:
+    """(text with garbled spans restored, whether any span was garbled, whether some of it is lost)."""
+    return traced(text)[:3]
 
 
-def restore(text: str | None) -> tuple[str | None, bool, bool]:
-    """(text with garbled spans restored, whether any span was garbled, whether some of it is lost).
+def traced(text: str | None) -> tuple[str | None, bool, bool, str | None]:
+    """(text with garbled spans restored, whether any span was garbled, whether some of it is lost, by what it was found).
 
-    Null gives (null, False, False); an empty or sound text comes back as it is.
+    Found by "search" where a path of steps leads to a cheaper text, by
+    "letters" where single signs were put back by their place in a word, and by
+    "marks" where nothing leads back from replacement marks or rows of
+    implausible characters.  Null gives (null, False, False, null); an empty or
+    sound text comes back as it is.
     """
-    if not suspect(text):
-        return text, False, False
-    out, garbled, gone = [], False, False
+    if not text:
+        return text, False, False, None
+    out, how, gone = [], set(), False
     sound = []  # numbers of the lines that hold no longer garbled span
     for line in text.split("\n"):
-        if not SUSPECT.search(line) or not SUSPECT.search(settled := settle(line)):
+        if not ESCAPED.search(line) and (line.isascii() and not HARD.search(line) or oddness(line) < ODD or oddness(settle(line)) < ODD):
             sound.append(len(out))
             out.append(line)
             continue
+        settled = settle(line)
         body, tail = _cut_mark(settled)
-        start = _JIS.sub(_jis, body)
-        fixed, hit = repair_span(start)
-        if hit and not HARD.search(line) and not _HALF.search(line) and cost(skeleton(start)) < cost(fixed) - LOOK_GAIN:
-            fixed, hit = start, False  # folding its look-alikes makes the cheaper text
-        hit, fixed = hit or start != body, fixed + tail
-        if HARD.search(line) or (not hit and lost(settled)):
-            garbled = True
+        fixed, hit = repair_span(body)
+        if hit and not HARD.search(line) and not _HALF.search(line) and cost(skeleton(body)) < cost(fixed) - LOOK_GAIN:
+            fixed, hit = body, False  # folding its look-alikes makes the cheaper text
+        fixed += tail
+        if hit:
+            how.add("search")
+        if HARD.search(line) or (not hit and lost(settled) and lost(settled.translate(LOOKALIKES))):
+            if not hit:
+                how.add("marks")
             gone = gone or bool(HARD.search(fixed)) or not hit
         elif not hit:
             sound.append(len(out))
-        garbled = garbled or hit
         out.append(fixed if hit else line)
     if SIGNS.search(text):
         for i, fixed in zip(sound, single_letters([out[i] for i in sound]), strict=True):
             if fixed is not None:
-                out[i], garbled = fixed, True
-    return "\n".join(out), garbled, gone
+                out[i] = fixed
+                how.add("letters")
+    return "\n".join(out), bool(how), gone, next((x for x in ("search", "letters", "marks") if x in how), None)
