@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators.checkpoints import ensure_checkpoint_dir
+from folioscan.operators.checkpoints import drop_checkpoint, ensure_checkpoint_dir
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct().checkpoint()
     before = None
     while True:
-        now = _small(_large(now)).checkpoint()
+        last, now = now, _small(_large(now)).checkpoint()
+        drop_checkpoint(last)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(mark) == before:
             break

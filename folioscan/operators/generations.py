@@ -118,6 +118,15 @@ class Store:
         self._point(name)
         return name
 
+    def stage(self, name: str, table: str, df: DataFrame) -> DataFrame:
+        """A frame that a build needs more than once, written and read from there."""
+        place = str(self.root / ".stage" / name / table)
+        df.write.mode("overwrite").parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def unstage(self, name: str) -> None:
+        shutil.rmtree(self.root / ".stage" / name, ignore_errors=True)
+
     def read(self, table: str, name: str | None = None) -> DataFrame | None:
         name = name or self.current()
         place = self.root / f"gen_{name}" / table

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.text import relative_path
 from folioscan.functions.timing import wants_full_hash
 
 # The ways to compare, with the short names for them.
@@ -83,6 +84,32 @@ def kept_failures(failures: DataFrame, pages: DataFrame) -> DataFrame:
     return failures.join(pages.select("path").distinct(), "path", "left_anti")
 
 
+def failure_sample(failures: DataFrame, most: int = 5) -> list[str]:
+    """Lines for a log: the first failures by path, and how many more there are."""
+    some = failures.orderBy("path").limit(most + 1).collect()
+    lines = [f"[{i}] {r.path}: {r.reason}" for i, r in enumerate(some[:most], 1)]
+    return lines + [f"... {failures.count() - most} more"] if len(some) > most else lines
+
+
+def carried_state(current: DataFrame, previous: DataFrame, classified: DataFrame, now: float) -> DataFrame:
+    """The state after a build, of the files that are there.
+
+    An unchanged file keeps its row as it was; one whose digest shows the same
+    content keeps its digests and the time it was indexed, under its new size,
+    time and inode; a new or changed one is indexed now.  Nobody is a candidate
+    for deletion any more.
+    """
+    kept = previous.select("path", *[F.col(c).alias(f"_{c}") for c in ("size", "mtime_ns", "inode", "file_id", "fast_fp", "full_hash", "last_indexed_at")])
+    j = current.join(classified.select("path", "status"), "path").join(kept, "path", "left")
+    same, alike = F.col("status") == "unchanged", F.col("status").isin("same_fingerprint", "same_hash")
+    old = lambda c: F.when(same, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    digest = lambda c: F.when(same, F.col(f"_{c}")).when(alike, F.coalesce(c, f"_{c}")).otherwise(F.col(c)).alias(c)
+    return j.select(
+        "path", *map(old, ("size", "mtime_ns", "inode", "file_id")), *map(digest, ("fast_fp", "full_hash")),
+        F.when(same | alike, F.col("_last_indexed_at")).otherwise(F.lit(now)).alias("last_indexed_at"), F.lit(None).cast("double").alias("deletion_candidate_since"),
+    )
+
+
 def merged_failures(stored: DataFrame, recent: DataFrame) -> DataFrame:
     """Of both, the recent reason wins."""
     a, b = stored.select("path", F.col("reason").alias("old")), recent.select("path", F.col("reason").alias("new"))
@@ -106,8 +133,11 @@ def shrink_guard(counts: DataFrame, allow_shrink: bool = False) -> DataFrame:
     return counts.select("folder_id", "n_cached", "n_scanned", verdict.otherwise("build").alias("verdict"))
 
 
-def files_view(scanned: DataFrame, indexed: DataFrame, failures: DataFrame, scope: str = "all") -> DataFrame:
-    """(path, indexed, reason): the files of a folder, all, indexed or missing ones, with why they are missing."""
+def files_view(scanned: DataFrame, indexed: DataFrame, failures: DataFrame, scope: str = "all", base: str | None = None) -> DataFrame:
+    """(path, indexed, reason): the files of a folder, all, indexed or missing ones, with why they are missing; paths below *base* if one is given."""
+    if base is not None:
+        below = relative_path(F.col("path"), F.lit(base.rstrip("/"))).alias("path")
+        return files_view(scanned, indexed, failures, scope).select(below, "indexed", "reason")
     if scope == "indexed":
         return indexed.select("path").distinct().select("path", F.lit(True).alias("indexed"), F.lit(None).cast("string").alias("reason")).orderBy("path")
     if scope not in ("all", "missing"):

@@ -65,22 +65,29 @@ def batch(ordered: DataFrame, number: int, size: int = BATCH) -> DataFrame:
 
 
 def highlight_one(c: Column, word: str) -> Column:
-    """Escaped text with every literal occurrence of one word marked."""
-    parts = F.split(T.escape_html(c), "(?i)(?=" + T.java_quote(html_escape(word)) + ")")
-    marked = F.regexp_replace(F.array_join(parts, ""), "(?i)(" + T.java_quote(html_escape(word)) + ")", '<span class="highlight">$1</span>')
-    return marked
+    """Escaped text with every literal occurrence of one word marked.
+
+    The raw text is taken apart into occurrences and what lies between, each
+    part is escaped by itself: what an escape is made of is never matched.
+    """
+    if not word:
+        return T.escape_html(c)
+    w = T.java_quote(word)
+    parts = F.regexp_extract_all(c, F.lit(f"(?ius){w}|(?:(?!{w}).)++"), F.lit(0))
+    shown = F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit(f"(?ius)^{w}$")), F.concat(F.lit('<span class="highlight">'), T.escape_html(p), F.lit("</span>"))).otherwise(T.escape_html(p)))
+    return F.array_join(shown, "")
 
 
 def html_escape(t: str) -> str:
     return t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
 
 
-def spans(text: str, words: list[str]) -> list[tuple[int, int]]:
-    """Ranges to mark: longer words first, each literal match that overlaps none yet, else matches with blanks between."""
+def spans(text: str, words: list[str], space_mode: str = "jp") -> list[tuple[int, int]]:
+    """Ranges to mark: longer words first, each literal match that overlaps none yet, else, unless blanks count, matches with blanks between."""
     taken: list[tuple[int, int]] = []
     for word in sorted({w for w in words if w}, key=lambda w: (-len(w), words.index(w))):
         found = [m.span() for m in re.finditer(re.escape(word), text, re.IGNORECASE)]
-        if not found:
+        if not found and space_mode != "none":
             bare = re.sub(r"\s+", "", word)
             if 2 <= len(bare) <= T.FLEX_LONGEST:
                 found = [m.span() for m in re.finditer(r"\s*".join(map(re.escape, bare)), text, re.IGNORECASE)]
@@ -88,18 +95,18 @@ def spans(text: str, words: list[str]) -> list[tuple[int, int]]:
     return sorted(taken)
 
 
-def marked(text: str, words: list[str]) -> str:
+def marked(text: str, words: list[str], space_mode: str = "jp") -> str:
     out, at = [], 0
-    for a, b in spans(text, words):
+    for a, b in spans(text, words, space_mode):
         out += [html_escape(text[at:a]), '<span class="highlight">', html_escape(text[a:b]), "</span>"]
         at = b
     return "".join(out) + html_escape(text[at:])
 
 
-def highlight(df: DataFrame, column: str, words: list[str], out: str = "marked") -> DataFrame:
+def highlight(df: DataFrame, column: str, words: list[str], out: str = "marked", space_mode: str = "jp") -> DataFrame:
     """Several words at once, by the exact rule on overlaps; null stays null."""
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else marked(v, words) for v in values.to_pylist()], pa.string())
+        return pa.array([None if v is None else marked(v, words, space_mode) for v in values.to_pylist()], pa.string())
 
     return df.withColumn(out, F.arrow_udf(run, "string")(F.col(column)))
 
@@ -110,12 +117,21 @@ def payload_bytes(hits: DataFrame) -> DataFrame:
 
 
 def export_rows(hits: DataFrame) -> DataFrame:
-    folder = F.coalesce("folder_name", "folder_id")
-    return hits.select("file", "path", "page", folder.alias("folder"), "context", "detail")
+    """What an export shows of each hit: the path as the reader knows it, and the folder's name."""
+    return hits.select("file", F.coalesce("display_path", "path").alias("path"), "page", F.coalesce("folder_name", "folder_id").alias("folder"), "context", "detail")
+
+
+# Labels of the metadata of an exported table, and of the normalize modes.
+EXPORT_TITLE = "# フォルダ内テキスト検索 - エクスポート"
+EXPORT_LABELS = {
+    "query": "# クエリ", "mode": "# モード", "range_limit": "# 範囲", "space_mode": "# 空白除去", "normalize_mode": "# 表記ゆれ", "index_uuid": "# インデックスUUID",
+    "exported_at": "# エクスポート日時", "folder_names": "# 検索フォルダ", "result_count": "# 結果件数",
+}
+NORMALIZE_LABELS = {"normalized": "ゆらぎ吸収", "exact": "厳格（最小整形）"}
 
 
-def export_csv(hits: DataFrame, meta: dict[str, str], now: datetime) -> Iterator[str]:
-    """Lines of the exported file: a byte order mark, metadata, the header, the rows as they come from the cluster."""
+def export_csv(hits: DataFrame, meta: dict, now: datetime) -> Iterator[str]:
+    """Lines of the exported file: a byte order mark, a title and metadata, the header, the rows as they come from the cluster."""
     line = io.StringIO()
     writer = csv.writer(line)
 
@@ -125,19 +141,21 @@ def export_csv(hits: DataFrame, meta: dict[str, str], now: datetime) -> Iterator
         writer.writerow(row)
         return line.getvalue()
 
-    yield "﻿"
-    for k, v in meta.items():
-        yield flush([f"# {k}", v])
-    yield flush(["# exported_at", now.strftime("%Y-%m-%d %H:%M:%S")])
+    said = meta | {"exported_at": now.strftime("%Y-%m-%d %H:%M:%S"), "normalize_mode": NORMALIZE_LABELS.get(meta.get("normalize_mode"), NORMALIZE_LABELS["exact"])}
+    yield "\ufeff" + flush([EXPORT_TITLE])
+    for name, label in EXPORT_LABELS.items():
+        value = said.get(name, "")
+        yield flush([label, ", ".join(value) if isinstance(value, (list, tuple)) else value])
     yield flush([])
     yield flush(EXPORT_HEADER)
     for r in export_rows(hits).toLocalIterator():
-        yield flush(list(r))
+        yield flush(["" if v is None else v for v in r])
 
 
 def export_json(hits: DataFrame, meta: dict, now: datetime) -> Iterator[str]:
+    """The metadata and every hit with all its columns."""
     yield '{"metadata": ' + json.dumps(meta | {"exported_at": now.strftime("%Y-%m-%d %H:%M:%S")}, ensure_ascii=False) + ', "results": ['
-    for i, r in enumerate(export_rows(hits).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+    for i, r in enumerate(hits.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
         yield (", " if i else "") + r.j
     yield "]}"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections import OrderedDict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -108,8 +109,8 @@ def presence(beats: DataFrame, ttl_sec: int, slice_sec: int = 3600) -> DataFrame
 class ResultCache:
     """Least-recently-used results on the driver, bounded in entries, bytes and item size."""
 
-    def __init__(self, max_bytes: int = 200 << 20, max_entries: int = 200, max_item: int = 2000 << 10):
-        self.max_bytes, self.max_entries, self.max_item = max_bytes, max_entries, max_item
+    def __init__(self, max_bytes: int = 200 << 20, max_entries: int = 200, max_item: int = 2000 << 10, on_drop: Callable[[object], None] = lambda value: None):
+        self.max_bytes, self.max_entries, self.max_item, self.on_drop = max_bytes, max_entries, max_item, on_drop
         self._items: OrderedDict[str, tuple[object, int]] = OrderedDict()
         self._bytes = 0
         self._lock = threading.Lock()
@@ -129,13 +130,14 @@ class ResultCache:
             self._items[key] = (value, size)
             self._bytes += size
             while self._items and (len(self._items) > self.max_entries or self._bytes > self.max_bytes):
-                _, (_, n) = self._items.popitem(last=False)
-                self._bytes -= n
+                self._drop(next(iter(self._items)))
             return key in self._items
 
     def _drop(self, key: str):
         value, size = self._items.pop(key, (None, 0))
         self._bytes -= size
+        if value is not None:
+            self.on_drop(value)
         return value
 
     def pop(self, key: str):
@@ -144,8 +146,8 @@ class ResultCache:
 
     def clear(self) -> None:
         with self._lock:
-            self._items.clear()
-            self._bytes = 0
+            for key in list(self._items):
+                self._drop(key)
 
     def __len__(self) -> int:
         return len(self._items)

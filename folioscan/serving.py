@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import time
 from collections.abc import Callable
 from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.engine import Engine, Result
+from folioscan.engine import Engine
 from folioscan.functions.timing import schedule
 from folioscan.operators import results, workload
 from folioscan.operators.generations import SCHEMA_VERSION
@@ -19,8 +21,9 @@ from folioscan.sources import state
 class FixedCache:
     """Results on disk for the queries that the workload shows to be heavy; valid for one generation only."""
 
-    def __init__(self, engine: Engine, root: str, most: int = 20, compress_from: int = 2000 << 10, ttl_days: float = 7, **thresholds):
-        self.engine, self.root, self.most, self.compress_from, self.ttl, self.thresholds = engine, Path(root), most, compress_from, ttl_days, thresholds
+    def __init__(self, engine: Engine, root: str, most: int = 20, ttl_days: float = 7, **thresholds):
+        self.engine, self.root, self.most, self.ttl, self.thresholds = engine, Path(root), most, ttl_days, thresholds
+        engine.fixed = self
         self.root.mkdir(parents=True, exist_ok=True)
         self.index: dict[str, dict] = state.read_json(self.root / "index.json", {})
         self.flusher = state.Flusher(lambda: state.write_json(self.root / "index.json", self.index), 60)
@@ -30,16 +33,17 @@ class FixedCache:
         return same and entry.get("index_uuid") == self.engine.store.current() and entry.get("schema_version") == SCHEMA_VERSION
 
     def get(self, key: str, folders: list[str]) -> dict | None:
-        """The stored payload, if it is of this generation and of these folders."""
+        """What is stored for the query, if it is of this generation and of these folders; hits() reads its rows."""
         entry = self.index.get(key)
-        if not entry or not self.valid(entry, folders):
+        if not entry or not self.valid(entry, folders) or not Path(entry["path"]).is_dir():
             return None
-        payload = state.read_json(entry["path"])
-        if payload is not None:
-            entry["last_access"] = self.engine.clock()
-            self.flusher.mark()
-            self.flusher.maybe()
-        return payload
+        entry["last_access"] = self.engine.clock()
+        self.flusher.mark()
+        self.flusher.maybe()
+        return entry
+
+    def hits(self, entry: dict) -> DataFrame:
+        return self.engine.spark.read.parquet(entry["path"])
 
     def rebuild(self, requests: dict[str, dict]) -> list[str]:
         """Choose the heavy queries from the log, run them anew, and keep their results; gives their keys.
@@ -56,20 +60,19 @@ class FixedCache:
             if key not in requests:
                 continue
             result = self.engine.search(**requests[key])
-            payload = self.payload(result)
-            path = state.write_json(self.root / f"{key}.json", payload, self.compress_from)
-            fresh[key] = {"path": path, "folders": list(result.folder_ids), "result_count": payload["count"], "last_access": now, "last_built": now, "index_uuid": result.index_uuid, "schema_version": SCHEMA_VERSION}
+            path = str(self.root / f"{key}_{result.index_uuid}")
+            result.hits.write.mode("overwrite").parquet(path)  # by the executors: a result may be large
+            size = results.payload_bytes(result.hits).first().bytes
+            fresh[key] = {
+                "path": path, "folders": list(result.folder_ids), "keywords": list(result.words), "normalize_mode": result.normalize_mode, "result_count": result.count(), "size": size,
+                "last_access": now, "last_built": now, "index_uuid": result.index_uuid, "schema_version": SCHEMA_VERSION,
+            }
+        for gone in {e["path"] for e in self.index.values()} - {e["path"] for e in fresh.values()}:
+            shutil.rmtree(gone, ignore_errors=True)
         self.index = fresh
         state.write_json(self.root / "index.json", fresh)
-        state.prune_dir(self.root, [e["path"] for e in fresh.values()])
         return list(fresh)
 
-    @staticmethod
-    def payload(result: Result) -> dict:
-        """All hits, read one partition at a time, with what they belong to."""
-        rows = [r.asDict(recursive=True) for r in results.filtered(result.hits).toLocalIterator()]
-        return {"count": len(rows), "results": rows, "keywords": list(result.words), "folder_ids": list(result.folder_ids), "index_uuid": result.index_uuid, "normalize_mode": result.normalize_mode}
-
 
 def replay(engine: Engine, requests: dict[str, dict], k: int = 10) -> list[str]:
     """Run the most asked queries again, as after a new generation."""

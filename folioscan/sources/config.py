@@ -29,33 +29,31 @@ class Settings:
         return self.values.get(name, default)
 
 
-def entries(text: str) -> list[str]:
-    """Parts between newlines, semicolons, bars and commas."""
-    return [p.strip() for p in re.split(r"[\n;|,]", text) if p.strip()]
+_ENTRY = re.compile(r"[^\n;|,]+")
+# An entry: a label and "=" if there are any, then a path that may stand in quotes, up to a comment.
+_FOLDER = re.compile(r"""^(?:(?P<label>[^=#]*)=)?\s*(?P<path>[^#]*?)\s*(?:\#.*)?$""", re.VERBOSE)
+_SMB = re.compile(r"smb:[/\\]*", re.IGNORECASE)
+
+
+def _local(path: str) -> str:
+    """An absolute path; of a network address the form with two slashes, "" where nothing is left of it."""
+    share, n = _SMB.subn("", path, count=1) if _SMB.match(path) else (path, 0)
+    if n:
+        path = "//" + share.replace("\\", "/") if share else ""
+    return os.path.abspath(os.path.expanduser(path)) if path else ""
 
 
 def parse_folders(text: str) -> list[Folder]:
-    """label=path entries; comments, quotes and smb: addresses are understood."""
-    out = []
-    for part in entries(text):
-        part = part.split("#", 1)[0].strip()
-        label, _, path = part.rpartition("=") if "=" in part and part.count("=") == 1 else part.partition("=") if "=" in part else ("", "", part)
-        path = path.strip().strip('"').strip("'")
-        if path.lower().startswith("smb:"):
-            rest = path[4:].lstrip("/\\").replace("\\", "/")
-            path = f"//{rest}" if rest else ""
-        if path:
-            out.append(Folder(os.path.abspath(os.path.expanduser(path)), label.strip()))
-    return out
+    """label=path entries between newlines, semicolons, bars and commas; comments, quotes and smb: addresses are understood."""
+    found = (_FOLDER.match(m[0].strip()) for m in _ENTRY.finditer(text))
+    named = ((_local(m["path"].strip("\"'")), (m["label"] or "").strip()) for m in found if m)
+    return [Folder(path, label) for path, label in named if path]
 
 
 def parse_aliases(text: str) -> dict[str, str]:
-    out = {}
-    for part in entries(text):
-        host, eq, alias = part.partition("=")
-        if eq and not part.startswith("#") and host.strip() and alias.strip():
-            out[host.strip().lower()] = alias.strip()
-    return out
+    """host=alias entries, hosts regardless of case; comments and halves are passed over."""
+    pairs = re.findall(r"(?:^|[\n;|,])[^\S\n]*([^\n;|,=#][^\n;|,=]*?)[^\S\n]*=[^\S\n]*([^\n;|,]*[^\s;|,])", text)
+    return {host.lower(): alias for host, alias in pairs}
 
 
 def _flat(tree: Mapping, prefix: str = "") -> dict[str, str]:

@@ -3,61 +3,129 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
+from functools import reduce
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import basename, extension
 from folioscan.operators.arrow import flat_map
+from folioscan.operators.checkpoints import ensure_checkpoint_dir
 from folioscan.operators.chunk import text_pages
 
 # Kinds of files, encodings in the order they are tried, reasons for a file without pages.
 EXTENSIONS = (".pdf", ".docx", ".txt", ".csv", ".xlsx", ".xls")
 TEXT_ENCODINGS = ("utf-8", "cp932", "shift_jis", "euc-jp")
 CSV_ENCODINGS = ("utf-8", "cp932", "shift_jis")
-EMPTY_FILE, NO_TEXT, UNSUPPORTED, NO_READER = "空ファイル", "テキストなし", "未対応形式", "読取ライブラリなし"
+EMPTY_FILE, NO_TEXT, UNSUPPORTED, NO_READER = "空ファイル", "抽出結果が空", "未対応形式", "読取ライブラリなし"
+NOTHING_READ = {".pdf": "PDF抽出失敗", ".docx": "内容が空", ".txt": "読み取り失敗または内容が空", ".csv": "読み取り失敗または内容が空", ".xlsx": "読み取り失敗または内容が空", ".xls": "読み取り失敗または内容が空"}
 ROWS_PER_PAGE = 40
+_LISTED = "path string, is_dir boolean, size bigint, mtime_ns bigint, inode bigint"
 
 
-def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, size, mtime_ns[, content]) of the files of known kinds under *root*; unreadable ones are skipped."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
-    full = _described(found, content)
-    return full.unionByName(_empty(spark, found, full, content))
+def _remote(path: str):
+    """(file system, path there) of an address with a scheme; None for a local path."""
+    if "://" not in path:
+        return None
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(path)
 
-def _empty(spark: SparkSession, found: DataFrame, full: DataFrame, content: bool) -> DataFrame:
-    """Files of no bytes, which the reader leaves out: those of its listing that it has no row for."""
-    names = pa.table({"value": pa.array(found.inputFiles(), pa.string())})  # the driver holds this listing for the scan as it is
-    listed = spark.createDataFrame(names).select(F.regexp_replace(F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("path"))
-    none = [F.lit(None).cast("bigint").alias("mtime_ns"), *([F.unhex(F.lit("")).alias("content")] if content else [])]
-    return listed.where(extension(F.col("path")).isin(*EXTENSIONS)).join(full.select("path"), "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("size"), *none)
 
+def _children(folder: str) -> Iterator[tuple]:
+    """What one folder holds, as rows of _LISTED; a folder that can't be read holds nothing."""
+    try:
+        if place := _remote(folder):
+            from pyarrow import fs
+
+            for x in place[0].get_file_info(fs.FileSelector(place[1])):
+                yield f"{folder.rstrip('/')}/{x.base_name}", x.type == fs.FileType.Directory, x.size, x.mtime_ns, None
+            return
+        with os.scandir(folder) as found:
+            for x in found:
+                try:
+                    inside = x.is_dir(follow_symlinks=False)
+                    st = x.stat()
+                except OSError:
+                    continue
+                yield x.path, inside, st.st_size, st.st_mtime_ns, st.st_ino
+    except OSError:
+        return
 
-def _described(found: DataFrame, content: bool) -> DataFrame:
+
+def opened(path: str):
+    """A binary file to read, by a local path or an address that the Arrow file systems know."""
+    place = _remote(path)
+    return place[0].open_input_file(place[1]) if place else open(path, "rb")
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime_ns, inode) of the files of known kinds under *root*, files of no bytes too.
+
+    Folders are listed level by level on the cluster, so no listing passes
+    through the driver, and no file is opened.  Unreadable folders and files
+    that vanish meanwhile are passed over; links to folders aren't followed.
+    """
+    ensure_checkpoint_dir(spark)
+    root = re.sub("^file:/*", "/", root)
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    levels = []
+    while True:
+        found = flat_map(level, _children, _LISTED).checkpoint()
+        levels.append(found.where("not is_dir"))
+        level = found.where("is_dir").select("path")
+        if level.isEmpty():
+            break
+        level = level.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    every = reduce(DataFrame.unionAll, levels)
+    return every.where(extension(F.col("path")).isin(*EXTENSIONS)).select("path", "size", "mtime_ns", "inode")
+
+
+def _described(found: DataFrame) -> DataFrame:
+    """(path, size, mtime_ns, content) of what a stream of binary files gives."""
     path = F.regexp_replace("path", "^file:/*", "/")
-    out = found.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), *(["content"] if content else []))
+    out = found.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
     return out.where(extension(F.col("path")).isin(*EXTENSIONS))
 
 
-def with_inodes(files: DataFrame) -> DataFrame:
-    """Adds what only the file system knows: nanosecond times and inodes; null where a file is gone."""
-    import os
+def digests(paths: DataFrame, full: bool = False, ends: int = 65536) -> DataFrame:
+    """(path, fast_fp, full_hash) of the files named: of a large file only both ends are read unless *full*; null where it can't be read."""
 
-    def kernel(path, size, mtime_ns):
+    def kernel(path):
         try:
-            s = os.stat(path)
-            yield path, s.st_size, s.st_mtime_ns, s.st_ino
+            with opened(path) as f:
+                f.seek(0, 2)
+                size = f.tell()
+                f.seek(0)
+                head = f.read(ends)
+                tail = min(ends, max(size - ends, 0))
+                f.seek(size - tail)
+                fast = hashlib.sha256(str(size).encode() + head + f.read(tail)).hexdigest()
+                whole = None
+                if full:
+                    f.seek(0)
+                    h = hashlib.sha256()
+                    while block := f.read(1 << 20):
+                        h.update(block)
+                    whole = h.hexdigest()
+            yield path, fast, whole
         except OSError:
-            yield path, size, mtime_ns, None
+            yield path, None, None
+
+    return flat_map(_spread(paths), kernel, "path string, fast_fp string, full_hash string")
 
-    return flat_map(files.select("path", "size", "mtime_ns"), kernel, "path string, size bigint, mtime_ns bigint, inode bigint")
+
+def _spread(paths: DataFrame) -> DataFrame:
+    """Few names may stand for many bytes: every core gets some."""
+    return paths.select("path").repartition(4 * paths.sparkSession.sparkContext.defaultParallelism, "path")
 
 
 def decoded(content: bytes, encodings: tuple[str, ...] = TEXT_ENCODINGS) -> str | None:
@@ -97,15 +165,82 @@ def docx_text(content: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
+# Numbers of the built-in formats that show dates or times.
+DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+_NO_FORMAT = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.IGNORECASE)
+
+
+def _plain_text(node) -> str:
+    """Text of a string item: of itself or of its runs, without the reading aids that stand beside them."""
+    return "".join(t.text or "" for part in node if part.tag in (f"{_M}t", f"{_M}r") for t in ([part] if part.tag == f"{_M}t" else part.findall(f"{_M}t")))
+
+
+def _date_styles(z: zipfile.ZipFile) -> dict[int, str]:
+    """Number of each cell style that shows a time -> "span" for elapsed times, else "date"."""
+    if "xl/styles.xml" not in z.namelist():
+        return {}
+    tree = ElementTree.fromstring(z.read("xl/styles.xml"))
+    codes = {int(x.get("numFmtId", 0)): x.get("formatCode", "") for x in tree.iter(f"{_M}numFmt")}
+    out = {}
+    for n, xf in enumerate(tree.findall(f"{_M}cellXfs/{_M}xf")):
+        number = int(xf.get("numFmtId", 0))
+        code = _NO_FORMAT.sub("", codes.get(number, "")).lower()
+        if "[" in code or number == 46:
+            out[n] = "span"
+        elif number in DATE_FORMATS or (code and "general" not in code and re.search("[dmyhs]", code)):
+            out[n] = "date"
+    return out
+
+
+def _when(serial: float, kind: str, from_1904: bool) -> str:
+    """A day number as a date and time; below one day a time."""
+    if kind == "span":
+        return str(timedelta(days=serial))
+    moment = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    if 0 <= serial < 1:
+        return str((moment + timedelta(milliseconds=round(serial * 86_400_000))).time())
+    if not from_1904 and serial < 60:
+        serial += 1  # the format counts a 29 February 1900
+    return str(moment + timedelta(milliseconds=round(serial * 86_400_000)))
+
+
+def _number(text: str) -> int | float:
+    return float(text) if re.search("[.eE]", text) else int(text)
+
+
+def _cell(c, shared: list[str], styles: dict[int, str], from_1904: bool) -> str:
+    kind, value = c.get("t", "n"), c.find(f"{_M}v")
+    if kind == "inlineStr":
+        inline = c.find(f"{_M}is")
+        return "" if inline is None else _plain_text(inline)
+    if value is None or value.text is None:
+        return ""
+    if kind == "s":
+        return shared[int(value.text)]
+    if kind == "b":
+        return str(value.text.strip() == "1")
+    if kind != "n":
+        return value.text
+    try:
+        number = _number(value.text)
+        style = styles.get(int(c.get("s", 0)))
+        return _when(number, style, from_1904) if style else str(number)
+    except (ValueError, OverflowError):
+        return value.text
+
+
 def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, str]]:
-    """(sheet, row number, cells with a text) of every row that has one."""
+    """(sheet, row number, cells with a text) of every row that has one: dates as dates, truth values as words."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_M}si")]
+            shared = [_plain_text(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_M}si")]
+        styles = _date_styles(z)
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_M}sheet"):
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        from_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter(f"{_M}workbookPr"))
+        for sheet in book.iter(f"{_M}sheet"):
             target = links.get(sheet.get(f"{_R}id"), "")
             place = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             if place not in names:
@@ -113,14 +248,7 @@ def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, str]]:
             n = 0
             for row in ElementTree.fromstring(z.read(place)).iter(f"{_M}row"):
                 n = int(row.get("r") or n + 1)
-                cells = []
-                for c in row.findall(f"{_M}c"):
-                    value = c.find(f"{_M}v")
-                    if c.get("t") == "inlineStr":
-                        cells.append("".join(t.text or "" for t in c.iter(f"{_M}t")))
-                    elif value is not None and value.text is not None:
-                        cells.append(shared[int(value.text)] if c.get("t") == "s" else value.text)
-                line = " ".join(x.strip() for x in cells if x.strip())
+                line = " ".join(x for c in row.findall(f"{_M}c") if (x := _cell(c, shared, styles, from_1904).strip()))
                 if line:
                     yield sheet.get("name") or "", n, line
 
@@ -183,20 +311,30 @@ def row_pages(rows: Iterator[tuple[str, int, str]], size: int = ROWS_PER_PAGE) -
             yield f"{sheet} 行 {part[0][0]}-{part[-1][0]}", "\n".join(t for _, t in part)
 
 
+class Nothing(Exception):
+    """A file that gave nothing, for the reason it carries."""
+
+
 def _read(ext: str, content: bytes) -> list[tuple[str, int | None, str]]:
-    if ext == ".txt":
-        return [(str(n), n, t) for n, t in text_pages(decoded(content))]
-    if ext == ".csv":
-        return [(str(n), n, t) for n, t in text_pages(csv_lines(content))]
-    if ext == ".docx":
-        return [(str(n), n, t) for n, t in text_pages(docx_text(content))]
-    if ext == ".xlsx":
-        return [(label, None, t) for label, t in row_pages(xlsx_rows(content))]
-    if ext == ".xls":
-        return [(label, None, t) for label, t in row_pages(xls_rows(content))]
-    if ext == ".pdf":
-        return [(str(n), n, t) for n, t in pdf_pages(content)]
-    raise ValueError(UNSUPPORTED)
+    if ext in (".txt", ".csv", ".docx"):
+        text = docx_text(content) if ext == ".docx" else csv_lines(content) if ext == ".csv" else decoded(content)
+        if not text:
+            raise Nothing(NOTHING_READ[ext])
+        return [(str(n), n, t) for n, t in text_pages(text)]
+    if ext in (".xlsx", ".xls"):
+        try:
+            got = [(label, None, t) for label, t in row_pages(xlsx_rows(content) if ext == ".xlsx" else xls_rows(content))]
+        except ImportError:
+            raise
+        except Exception as e:  # a damaged workbook counts as unread
+            raise Nothing(NOTHING_READ[ext]) from e
+    elif ext == ".pdf":
+        got = [(str(n), n, t) for n, t in pdf_pages(content)]
+    else:
+        raise Nothing(UNSUPPORTED)
+    if not got:
+        raise Nothing(NOTHING_READ[ext])
+    return got
 
 
 def extract_file(path: str, content: bytes | None, readers: Callable = _read) -> Iterator[tuple]:
@@ -207,8 +345,10 @@ def extract_file(path: str, content: bytes | None, readers: Callable = _read) ->
         pages = readers(m[1].lower() if m else "", content or b"")
     except ImportError:
         pages, reason = [], NO_READER
+    except Nothing as e:
+        pages, reason = [], str(e)
     except Exception as e:  # any failure is a reason, not the end of the job
-        pages, reason = [], UNSUPPORTED if str(e) == UNSUPPORTED else f"例外:{type(e).__name__}"
+        pages, reason = [], f"例外:{type(e).__name__}"
     some = [(k, n, t) for k, n, t in pages if t]
     for i, (k, n, t) in enumerate(some):
         yield path, k, n, i, t, None
@@ -216,9 +356,27 @@ def extract_file(path: str, content: bytes | None, readers: Callable = _read) ->
         yield path, None, None, None, None, EMPTY_FILE if not content else reason or NO_TEXT
 
 
+EXTRACTED = "path string, page_key string, page_no int, page_ord int, raw string, reason string"
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Pages and failures of files with their content."""
-    return flat_map(files.select("path", "content"), extract_file, "path string, page_key string, page_no int, page_ord int, raw string, reason string")
+    return flat_map(files.select("path", "content"), extract_file, EXTRACTED)
+
+
+def extract_paths(paths: DataFrame) -> DataFrame:
+    """Pages and failures of the files named; each is opened once, on the executor that reads it."""
+
+    def kernel(path):
+        try:
+            with opened(path) as f:
+                content = f.read()
+        except OSError as e:
+            yield path, None, None, None, None, f"例外:{type(e).__name__}"
+            return
+        yield from extract_file(path, content)
+
+    return flat_map(_spread(paths), kernel, EXTRACTED)
 
 
 def pages(extracted: DataFrame, folders: DataFrame, folded: bool = True) -> DataFrame:

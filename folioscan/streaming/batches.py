@@ -83,7 +83,7 @@ def feed_presence(beats: DataFrame, table: workload.Presence, place: str) -> Non
 def ingest(spark: SparkSession, root: str, target: str, place: str) -> None:
     """Extract files that are new under *root* and append their pages and failures to *target*."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).load(root)
-    listed = files._described(stream, content=True)
+    listed = files._described(stream)
 
     def sink(df: DataFrame, n: int) -> None:
         # a batch that is repeated after a failure replaces itself

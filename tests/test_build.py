@@ -1,4 +1,5 @@
 import io
+import json
 import os
 import sys
 import types
@@ -43,10 +44,85 @@ def test_readers():
     assert list(files.extract_file("/a/x.txt", b""))[0][5] == files.EMPTY_FILE
     assert list(files.extract_file("/a/x.txt", b"  "))[0][5] == files.NO_TEXT
     assert list(files.extract_file("/a/x.docx", b"zz"))[0][5] == "例外:BadZipFile"
+    assert list(files.extract_file("/a/x.xlsx", b"zz"))[0][5] == files.NOTHING_READ[".xlsx"]
+    assert list(files.extract_file("/a/x.txt", b"\x81\x00"))[0][5] == files.NOTHING_READ[".txt"]
+    assert list(files.extract_file("/a/x.docx", docx([], [])))[0][5] == files.NOTHING_READ[".docx"]
     assert list(files.extract_file("/a/x.odt", b"zz"))[0][5] == files.UNSUPPORTED
     assert list(files.extract_file("/a/x.txt", None))[0][5] == files.EMPTY_FILE
 
 
+def test_sheet_cells():
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cells = ['<c t="s"><v>0</v></c>', '<c t="s"><v>1</v></c>', '<c s="1"><v>45296</v></c>', '<c s="2"><v>45296.5</v></c>', '<c s="1"><v>0.25</v></c>', '<c s="3"><v>1.5</v></c>', '<c s="4"><v>1234.50</v></c>', '<c><v>7</v></c>', '<c t="b"><v>1</v></c>', '<c t="b"><v>0</v></c>', '<c t="e"><v>#DIV/0!</v></c>', '<c t="str"><v>made</v></c>', "<c/>"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{m}"><si><t>東京</t><rPh sb="0" eb="2"><t>トウキョウ</t></rPh></si><si><r><t>大</t></r><r><t>阪</t></r><rPh sb="0" eb="1"><t>オオ</t></rPh></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{m}"><numFmts><numFmt numFmtId="164" formatCode="yyyy/mm/dd hh:mm"/><numFmt numFmtId="165" formatCode="[h]:mm"/><numFmt numFmtId="166" formatCode="[Red]#,##0.00&quot;days&quot;"/></numFmts><cellXfs><xf/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData><row r="1">{"".join(cells)}</row></sheetData></worksheet>')
+    assert list(files.xlsx_rows(out.getvalue())) == [("S", 1, "東京 大阪 2024-01-05 00:00:00 2024-01-05 12:00:00 06:00:00 1 day, 12:00:00 1234.5 7 True False #DIV/0! made")]
+
+
+def test_build_opens_only_what_changed(spark, tmp_path, monkeypatch):
+    docs = tmp_path / "docs"
+    (docs / "deep" / "er").mkdir(parents=True)
+    for i in range(30):
+        (docs / "deep" / f"f{i}.txt").write_text(f"text {i}")
+    (docs / "deep" / "er" / "x+y z%41.txt").write_text("odd name")
+    base = str(docs)
+    folders = spark.createDataFrame([("f1", base, "Docs", base, 0, True, None)], "folder_id string, path string, folder_name string, display_path string, folder_ord int, ready boolean, message string")
+    clock = iter(range(1_000_000, 2_000_000, 10))
+    e = Engine(spark, str(tmp_path / "store"), folders, clock=lambda: float(next(clock)))
+    e.build(base, "fastfp")
+    before = {r.path: r for r in e.store.read("file_state").collect()}
+    assert len(before) == 31 and all(r.inode and r.fast_fp and r.mtime_ns == os.stat(p).st_mtime_ns for p, r in before.items())
+    (docs / "deep" / "f3.txt").write_text("another text")
+    os.utime(docs / "deep" / "f4.txt", (5, 5))
+    reads = files.extract_paths
+    monkeypatch.setattr(files, "extract_paths", lambda df: counted_paths.append(sorted(r.path for r in df.collect())) or reads(df))
+    counted_paths = []
+    e.build(base, "fastfp", allow_shrink=True)
+    after = {r.path: r for r in e.store.read("file_state").collect()}
+    changed, touched = f"{base}/deep/f3.txt", f"{base}/deep/f4.txt"
+    assert counted_paths == [[changed]]
+    assert all(after[p] == before[p] for p in before if p not in (changed, touched))
+    assert after[changed].last_indexed_at > before[changed].last_indexed_at and after[changed].fast_fp != before[changed].fast_fp
+    assert after[touched].last_indexed_at == before[touched].last_indexed_at and after[touched].fast_fp == before[touched].fast_fp and after[touched].mtime_ns == 5_000_000_000
+    assert sorted(r.raw for r in e.store.read("pages").collect()) == sorted(["another text", "odd name", *(f"text {i}" for i in range(30) if i != 3)])
+    e.build(base, allow_shrink=True)  # by size and time alone: digests stay for a later build that asks for them
+    assert counted_paths[1:] == [[]] and {r.path: r.fast_fp for r in e.store.read("file_state").collect()} == {p: r.fast_fp for p, r in after.items()}
+    assert not (tmp_path / "store" / ".stage").exists() or not any((tmp_path / "store" / ".stage").iterdir())
+
+
+def test_failures_are_tried_again(spark, tmp_path):
+    import shutil
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.txt").write_text("good")
+    (docs / "b.docx").write_bytes(b"zz")
+    base = str(docs)
+    folders = spark.createDataFrame([("f1", base, "Docs", base, 0, True, None)], "folder_id string, path string, folder_name string, display_path string, folder_ord int, ready boolean, message string")
+    clock = iter(range(1_000_000, 2_000_000, 10))
+    e = Engine(spark, str(tmp_path / "store"), folders, clock=lambda: float(next(clock)), rebuild_wait=1000)
+    name = e.build(base)
+    assert e.failure_sample() == [f"[1] {base}/b.docx: 例外:BadZipFile"]
+    stat = os.stat(docs / "b.docx")
+    (docs / "b.docx").write_bytes(docx(["now"], [])[:])
+    shutil.rmtree(tmp_path / "store" / f"gen_{name}" / "failures")  # unreadable: known files without a page are tried
+    os.utime(docs / "b.docx", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    e.build(base, allow_shrink=True)
+    assert e.failure_sample() == [] and e.store.read("pages").count() == 2
+    assert e.rebuild(base, allow_shrink=True) and not e.rebuild(base, allow_shrink=True)
+
+
+def test_failure_sample(spark):
+    df = spark.createDataFrame([(f"/{i}", "r") for i in range(8)], "path string, reason string")
+    assert inc.failure_sample(df) == [f"[{i + 1}] /{i}: r" for i in range(5)] + ["... 3 more"] and inc.failure_sample(df.limit(0)) == []
+
+
 def test_damaged_pdf_pages(monkeypatch):
     def layout(_):
         yield types.SimpleNamespace(bbox=(0, 0, 1, 1))
@@ -85,9 +161,14 @@ def test_build_and_search(spark, tmp_path):
     assert [x.page for x in r.hits.collect()] == ["-", "-", "S 行 1-1"]
     hit = e.search("東京", ["f1"]).hits.first()
     assert e.detail(hit.detail_key.file_id, hit.detail_key.page, hit.detail_key.hit_pos).startswith("The pump")
-    assert "".join(e.export(r)).startswith("﻿# query,pump") and '"results": [' in "".join(e.export(r, "json"))
+    table = "".join(e.export(r)).splitlines()
+    assert table[:4] == ["\ufeff# フォルダ内テキスト検索 - エクスポート", "# クエリ,pump", "# モード,AND", "# 範囲,0"] and table[9] == "# 結果件数,3" and table[8] == "# 検索フォルダ,Docs" and table[10] == ""
+    assert table[11] == "ファイル名,パス,ページ,フォルダ,スニペット,詳細" and len(table) == 15 and all(x.rsplit(",", 1)[1] for x in table[12:])
+    told = json.loads("".join(e.export(r, "json")))
+    assert told["metadata"]["folder_names"] == ["Docs"] and told["metadata"]["index_uuid"] == first and len(told["results"]) == 3 and all(x["detail"] for x in told["results"])
     assert [x.n for x in r.facets()[1].collect()] == [1, 1, 1] and r.by_file().count() == 3
-    assert {x.path[-9:]: x.reason for x in e.files(base, "missing").collect()} == {"empty.txt": files.EMPTY_FILE}
+    assert {x.path: x.reason for x in e.files(base, "missing").collect()} == {"sub/empty.txt": files.EMPTY_FILE}
+    assert e.failure_sample() == [f"[1] {base}/sub/empty.txt: {files.EMPTY_FILE}"]
     assert not e.health() and e.stats().count() == 2
 
     (docs / "a.txt").write_text("The valve is old.")

@@ -2,6 +2,7 @@ from datetime import datetime
 
 from folioscan.engine import Engine
 from folioscan.serving import FixedCache, next_run, replay, run_schedule
+from folioscan.operators.workload import ResultCache
 from folioscan.sources import state
 
 
@@ -47,14 +48,27 @@ def test_fixed_cache(spark, tmp_path):
     e.search(**args)
     e.search(**args)
     key = e.log[0][0]
-    cache = FixedCache(e, str(tmp_path / "fixed"), compress_from=10, min_count=2, min_ms=0)
+    cache = FixedCache(e, str(tmp_path / "fixed"), min_count=2, min_ms=0)
     assert cache.rebuild({key: args}) == [key]
-    payload = cache.get(key, ["f1"])
-    assert payload["count"] == 1 and payload["index_uuid"] == e.store.current() and payload["results"][0]["context"] == "...pump one..."
-    assert cache.get(key, ["f2"]) is None and FixedCache(e, str(tmp_path / "fixed")).get(key, ["f1"]) == payload
+    entry = cache.get(key, ["f1"])
+    assert entry["result_count"] == 1 and entry["index_uuid"] == e.store.current() and cache.hits(entry).first().context == "...pump one..."
+    assert cache.get(key, ["f2"]) is None and FixedCache(e, str(tmp_path / "fixed")).get(key, ["f1"])["path"] == entry["path"]
     assert replay(e, {key: args}) == [key]
+    e.cache.clear()
+    found = e.search(**args)  # not in memory any more: from the stored result, which goes into memory
+    assert e.log[-1][6] and found.hits.inputFiles()[0].startswith("file://" + entry["path"]) and e.search(**args) is found and found.count() == 1
     e.build(str(docs))
     assert cache.get(key, ["f1"]) is None  # of another generation
+    assert e.search(**args).count() == 1 and not e.log[-1][6]
+
+
+def test_what_leaves_the_cache_is_let_go():
+    gone = []
+    cache = ResultCache(max_bytes=10, max_entries=2, on_drop=gone.append)
+    assert cache.set("a", 1, 4) and cache.set("b", 2, 4) and cache.set("c", 3, 4) and gone == [1]
+    assert not cache.set("d", 4, 1 << 30) and gone == [1]
+    cache.clear()
+    assert gone == [1, 2, 3] and len(cache) == cache.bytes == 0
 
 
 def test_schedule():
