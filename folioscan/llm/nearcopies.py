@@ -128,7 +128,9 @@ def links(df: DataFrame, key: str, path: str, text: str, similarity: float = 0.6
     prints = flat_map(texts, kernel, "text_hash string, symbols array<bigint>, keys array<bigint>").withColumn("id", F.xxhash64("text_hash")).checkpoint()
     # one table per segment and open position, all in one frame: the key names its table
     entries = prints.select(F.explode("keys").alias("code"), "id")
-    found = entries.alias("a").join(entries.alias("b"), F.col("a.code") == F.col("b.code")).where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # a notice with very many versions puts them all under the same codes
+    a, b = entries.select(F.col("code").alias("ca"), F.col("id").alias("a")), entries.select(F.col("code").alias("cb"), F.col("id").alias("b"))
+    found = spread_join(a, b, "ca", "cb", "a", one_in=16, right_id="b").where("a < b").select("a", "b").distinct()
     marks = prints.select("id", "text_hash", F.struct(*[F.col("symbols")[i].alias(f"s{i}") for i in range(WORDS)]).alias("s"))
     near = (
         found.join(marks.select(F.col("id").alias("a"), F.col("text_hash").alias("hash_a"), F.col("s").alias("sa")), "a")
@@ -145,7 +147,8 @@ def links(df: DataFrame, key: str, path: str, text: str, similarity: float = 0.6
         if j >= similarity:
             yield a, b, j
 
-    return flat_map(pairs.select("hash_a", "hash_b", "ta", "tb"), settle, "hash_a string, hash_b string, similarity double"), members
+    # kept: the callers read it in both directions, and each pair is to be compared once
+    return flat_map(pairs.select("hash_a", "hash_b", "ta", "tb"), settle, "hash_a string, hash_b string, similarity double").checkpoint(), members
 
 
 def packed(symbols: np.ndarray) -> list[int]:
@@ -180,14 +183,20 @@ def near_pairs(df: DataFrame, key: str, path: str, text: str, similarity: float
 
 
 def groups(df: DataFrame, key: str, path: str, text: str, similarity: float = 0.6, least: int = 200) -> DataFrame:
-    """(key, group_id, n_links): one row per key, with the smallest text hash of its group and its text's links."""
+    """(key, group_id, n_links): one row per key, with the smallest text hash of its group and its text's links.
+
+    Texts below *least* characters are grouped with their exact copies only and
+    have no links; a null text has no group.
+    """
     linked, members = links(df, key, path, text, similarity, least)
-    linked = linked.select("hash_a", "hash_b").checkpoint()
     of = components(linked, "hash_a", "hash_b")
     ends = linked.select(F.col("hash_a").alias("text_hash")).unionAll(linked.select("hash_b"))
     counts = ends.groupBy("text_hash").count()
+    t = F.col(f"`{text}`")
+    short = df.where(t.isNull() | (F.length(t) < least)).select(F.col(f"`{key}`").alias("key"), F.sha2(t, 256).alias("text_hash"))
     return (
         members.select("key", "text_hash")
+        .unionByName(short)
         .distinct()
         .join(of.withColumnRenamed("node", "text_hash"), "text_hash", "left")
         .join(counts, "text_hash", "left")
