@@ -22,8 +22,9 @@ from folioscan.operators.arrow import flat_map
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
 MAX_SEGMENTS = 64
-MAX_LOSS = 2048
+MAX_LOSS = 2048  # of plain documents it can't bind, as none may be split that fits the capacity; instruction data take a lower one
 GROUP_ITEMS = 10_000  # documents packed together; a group's sizes take a few hundred kB
+GROUPS_A_TASK = 50  # groups that one task packs one after the other, where there are many
 # Fixed value: the usual pattern that cuts a text before byte-pair merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -37,26 +38,35 @@ def encoder(path: str):
     return tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def sizes(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """(key, part, tokens, segments, loss): the items, of documents above the capacity its parts.
+def cuts(n: int, prompt: int, capacity: int, max_loss: int) -> Iterator[tuple[int, int]]:
+    """(tokens, loss) of the parts of a document of *n* tokens, of which the first *prompt* bear no loss: as large as both limits allow."""
+    while n > capacity or n - prompt > max_loss:
+        size = min(capacity, prompt + max_loss)
+        free = min(prompt, size)
+        yield size, size - free
+        n, prompt = n - size, prompt - free
+    yield n, n - prompt
+
+
+def sizes(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, max_loss: int = MAX_LOSS) -> DataFrame:
+    """(key, part, tokens, segments, loss): the items, of documents above a limit their parts.
 
     A null or empty text has no token and is an item of size 0 with no segment.
+    Repeated rows are one item; different texts under one key are different items.
     """
     kind = df.schema[key].dataType.simpleString()
-    slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    slim = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
 
-    def kernel(k, t):
+    def kernel(k, h, t):
         enc = encoder(tokenizer)
         n = len(enc.encode_ordinary(t)) if t else 0
         line = t.find("\n") if t else -1
         prompt = min(n, len(enc.encode_ordinary(t[:line]))) if 0 < line < len(t) - 1 else 0
-        part = 0
-        while n > capacity:
-            yield k, part, capacity, 1, capacity - min(prompt, capacity)
-            prompt, n, part = max(0, prompt - capacity), n - capacity, part + 1
-        yield k, part, n, int(n > 0), n - prompt
+        for part, (size, loss) in enumerate(cuts(n, prompt, capacity, max_loss)):
+            yield k, h, part, size, int(size > 0), loss
 
-    return flat_map(slim, kernel, f"`{key}` {kind}, part int, tokens int, segments int, loss int")
+    rows = flat_map(slim, kernel, f"key {kind}, text_hash bigint, part int, tokens int, segments int, loss int").distinct()
+    return rows.select(F.col("key").alias(key), "part", "tokens", "segments", "loss")
 
 
 def pack(vectors: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
@@ -97,28 +107,45 @@ def containers(
     """(container, key, part, tokens, segments, loss), one row per item.
 
     Documents are spread evenly over groups by the hash of key and text, and
-    each group is packed by itself, so that no task holds more than a bounded
-    number of sizes and no text.  Items never exceed a limit: a document is cut
-    only where it alone exceeds the capacity.  Repeated rows are packed once.
+    each group is packed by itself, so that a task holds the sizes of one group
+    at a time and no text.  Items never exceed a limit: a document is cut only
+    where it alone exceeds one.  Repeated rows are packed once.
     """
-    if max_loss < capacity:
-        raise ValueError("max_loss below the capacity would leave items that fit in no container")
-    n = df.count()
-    groups = max(1, -(-n // GROUP_ITEMS))
-    items = sizes(df, key, text, tokenizer, capacity).distinct()
+    if min(capacity, max_segments, max_loss) < 1:
+        raise ValueError("a limit below 1 leaves items that fit in no container")
+    groups = max(1, -(-df.count() // GROUP_ITEMS))
+    items = sizes(df, key, text, tokenizer, capacity, max_loss)
     kind = df.schema[key].dataType.simpleString()
-    # the number is given, so that adaptive execution leaves the groups in tasks of their own: they are small but slow
-    grouped = items.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).repartition(groups, "bucket")
-
-    def run(tables: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-        t = tables.sort_by([(key, "ascending"), ("part", "ascending")])
+    # each task gets the same number of groups, as even as it goes; they are small but slow
+    tasks = min(groups, max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-groups // GROUPS_A_TASK)))
+    bucket = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+    grouped = items.withColumn("_bucket", bucket).repartitionById(tasks, F.pmod("_bucket", F.lit(tasks))).sortWithinPartitions("_bucket", key, "part", "tokens", "loss")
+    schema = f"container string, `{key}` {kind}, part int, tokens int, segments int, loss int"
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
         v = np.stack([t[c].to_numpy() for c in ("tokens", "segments", "loss")], 1).astype(np.float64)
-        number = pack(v, (capacity, max_segments, max_loss))
-        bucket = t["bucket"][0].as_py()
-        named = pa.array([f"{bucket}-{x}" for x in number.tolist()])
-        return pa.table({"container": named, key: t[key], "part": t["part"], "tokens": t["tokens"], "segments": t["segments"], "loss": t["loss"]})
-
-    return grouped.groupBy("bucket").applyInArrow(run, f"container string, `{key}` {kind}, part int, tokens int, segments int, loss int")
+        bucket = t["_bucket"][0].as_py()
+        named = pa.array([f"{bucket}-{x}" for x in pack(v, (capacity, max_segments, max_loss)).tolist()], pa.string())
+        whole = t.drop_columns("_bucket").add_column(0, "container", named)
+        return whole.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            numbers = batch["_bucket"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[0]["_bucket"][0].as_py() != numbers[a]:
+                    yield packed(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield packed(held)
+
+    return grouped.select(key, "part", "tokens", "segments", "loss", "_bucket").mapInArrow(run, schema)
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
