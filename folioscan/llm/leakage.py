@@ -125,12 +125,12 @@ def leaks(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text
     start and end are offsets in the document's own text.  Null and empty texts
     and items hold nothing; repeated rows come out once; whole texts are scanned.
     """
-    items = items_of(eval_items)
+    items = documents.sparkSession.sparkContext.broadcast(items_of(eval_items))  # held once by each worker process, of bounded size
     kind = documents.schema[key].dataType.simpleString()
     slim = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text is not null")
 
     def kernel(k, t):
-        for hit in items.scan(t):
+        for hit in items.value.scan(t):
             yield k, *hit
 
     return flat_map(slim, kernel, f"`{key}` {kind}, item_id {eval_items.schema['item_id'].dataType.simpleString()}, field string, start int, end int, run int").distinct()
