@@ -52,12 +52,22 @@ def test_near_pairs_against_brute_force(spark):
 
 def test_near_groups(spark):
     a = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
-    rows = [(1, "/a", a), (2, "/b", a + "tail of a page"), (3, "/c", a[40:] + "other"), (4, "/d", "x" * 150 + "".join(map(str, range(200)))), (4, "/d", "x" * 150 + "".join(map(str, range(200)))), (5, "/e", None)]
+    rows = [(1, "/a", a), (2, "/b", a + "tail of a page"), (3, "/c", a[40:] + "other"), (4, "/d", "x" * 150 + "".join(map(str, range(200)))), (4, "/d", "x" * 150 + "".join(map(str, range(200)))), (5, "/e", None), (6, "/f", "short"), (7, "/g", "short")]
     got = {r.page_id: r for r in nearcopies.groups(pages(spark, rows), "page_id", "path", "norm_all").collect()}
-    assert set(got) == {1, 2, 3, 4} and len({got[i].group_id for i in (1, 2, 3)}) == 1 and got[4].group_id != got[1].group_id and got[4].n_links == 0
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7} and got[5].group_id is None and got[6].group_id == got[7].group_id and got[6].n_links == 0 and len({got[i].group_id for i in (1, 2, 3)}) == 1 and got[4].group_id != got[1].group_id and got[4].n_links == 0
     assert nearcopies.near_pairs(pages(spark, rows).limit(0), "page_id", "path", "norm_all").count() == 0
 
 
+def test_very_many_versions_of_one_page(spark):
+    """A hot group: every version shares codes with every other; the links are counted, not listed."""
+    n = 800
+    base = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(600))
+    rows = [(i, f"/p{i}", base[: 5 * (i % 100)] + f"<{i}>" + base[5 * (i % 100) :]) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, path string, norm_all string").repartition(8)
+    got = nearcopies.groups(df, "page_id", "path", "norm_all").agg(F.countDistinct("group_id").alias("g"), F.min("n_links").alias("least"), F.max("n_links").alias("most"), F.count("*").alias("n")).first()
+    assert (got.g, got.least, got.most, got.n) == (1, n - 1, n - 1, n)
+
+
 def test_ball_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -106,11 +116,47 @@ def test_scan_noise(spark):
     assert scans.repaired(df.limit(0)).count() == 0
 
 
-def test_misread_words_whatever_the_size(spark, monkeypatch):
-    monkeypatch.setattr(scans, "TOTAL_SHARE", 20)  # as if the words were so many that few are frequent enough for a vector
-    rows = [*scan_rows(), (900, "/d/x.pdf", "1", "The pnmp in building C was inspected.\nThe valve stands still.")]
-    got = {r.page_id: r for r in scans.repaired(spark.createDataFrame(rows, "page_id long, path string, page_key string, raw string")).collect()}
-    assert got[900].noise == ["misread"] and got[900].text.startswith("The pump in building C") and got[1].noise == ["header", "page_number"]
+def context_rows():
+    """Two invented words, one letter apart from what a scanner makes of either, each among words of its own."""
+    rng = random.Random(8)
+    sea = ["harbour", "vessel", "anchor", "tide", "sailor", "captain", "rope", "deck", "mast", "cargo", "wave", "pilot"]
+    court = ["judge", "verdict", "appeal", "clerk", "witness", "statute", "counsel", "hearing", "claim", "ruling", "oath", "jury"]
+    rows = []
+    for i in range(400):
+        about, word = (sea, "zubah") if i % 2 else (court, "zuhab")
+        line = [rng.choice(about) for _ in range(40)]
+        for j in range(5, 40, 9):
+            line[j] = word
+        rows.append((i, f"/d/f{i}.pdf", "1", " ".join(line)))
+    mixed = lambda n, ws: (n, f"/d/f{n}.pdf", "1", " ".join([*ws[:6], "zuhah", *ws[6:]]))
+    return [*rows, mixed(900, sea), mixed(901, court)]
+
+
+def test_misread_words_by_context(spark):
+    """What was read may mean either word: the words around it decide, and without them nothing is put right."""
+    df = spark.createDataFrame(context_rows(), "page_id long, path string, page_key string, raw string")
+    got = {r.page_id: r.text for r in scans.repaired(df).where("page_id >= 900").collect()}
+    assert got[900].split()[6] == "zubah" and got[901].split()[6] == "zuhab"
+    lex = scans.Lexicon([scans.bucket("zubah")], np.ones((1, scans.VECTOR), np.float32), [])
+    assert scans.misread_words("qq zuhah ww", lex, {"zuhah": ["zubah"]}) == []
+
+
+def test_the_same_answer_in_a_larger_table(spark):
+    """Ten times the pages, of other words: thresholds are absolute, so what a page gets doesn't change."""
+    page = (900, "/d/x.pdf", "1", "The pnmp in building C was inspected.\nThe valve stands still.")
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioklmrst") for _ in range(rng.randint(4, 8)))
+    others = [word() for _ in range(3000)]
+    more = [(2000 + i, f"/e/g{i}.pdf", "1", " ".join(rng.choice(others) for _ in range(200))) for i in range(400)]
+    for rows in ([*scan_rows(), page], [*scan_rows(), page, *more]):
+        got = {r.page_id: r for r in scans.repaired(spark.createDataFrame(rows, "page_id long, path string, page_key string, raw string")).where("page_id in (1, 900)").collect()}
+        assert got[900].noise == ["misread"] and got[900].text.startswith("The pump in building C") and got[1].noise == ["header", "page_number"]
+
+
+def test_long_words_are_looked_at():
+    lex = scans.Lexicon([scans.bucket("gilt"), scans.bucket("Donaudampfschifffahrtsgesellschaftsvorsitzender")], np.stack([np.ones(scans.VECTOR), np.ones(scans.VECTOR) * 2 + np.arange(scans.VECTOR) % 2]).astype(np.float32), [])
+    read = "Donaudampfschifffahrtsgese1lschaftsvorsitzender"
+    assert len(read) > 40 and scans.tokens("es " + read) == ["es", read] and read.replace("1", "l") in scans.meant_forms(read)
 
 
 @pytest.mark.parametrize("line,yes", [("― 24 ―", 1), ("- 3 -", 1), ("(9)", 1), ("[2]", 1), ("第3頁", 1), ("2ページ", 1), ("S. 5", 1), ("Page 4 of 4", 1), ("p. 1", 1), ("42/42", 1), ("iii", 1), (" —1—", 1), ("2019.", 0), ("3 units", 0), ("", 0), ("12に計上する。", 0)])
@@ -274,7 +320,40 @@ def test_packing(spark):
     assert packing.fill(packing.containers(df, "doc_id", "text")).first().used > 0.97
     assert packing.containers(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
-        packing.containers(df, "doc_id", "text", max_loss=5)
+        packing.containers(df, "doc_id", "text", max_loss=0)
+
+
+def test_packing_under_a_binding_loss_limit(spark):
+    rng = random.Random(4)
+    rows = [(i, "question one two three\n" * (i % 2) + " ".join(rng.choice(["pump", "valve", "scanner"]) for _ in range(rng.randint(1, 700)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.containers(df, "doc_id", "text", max_loss=500, max_segments=3).collect()
+    per, whole = {}, {}
+    for r in got:
+        s = per.setdefault(r.container, [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + r.tokens, s[1] + r.segments, s[2] + r.loss
+        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.tokens
+    enc = packing.encoder(packing.TOKENIZER)
+    assert all(s[0] <= packing.CAPACITY and s[1] <= 3 and s[2] <= 500 for s in per.values()) and max(s[2] for s in per.values()) > 490 and max(s[1] for s in per.values()) == 3
+    assert whole == {k: len(enc.encode_ordinary(t)) for k, t in rows} and any(r.part for r in got)
+
+
+def test_packing_keeps_different_texts_of_one_key(spark):
+    df = spark.createDataFrame([(1, "pump valve"), (1, "valve pump"), (1, "pump valve"), (None, "pump"), (None, "valve")], "doc_id long, text string")
+    assert packing.containers(df, "doc_id", "text").count() == 4
+
+
+def test_packing_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 7)
+    monkeypatch.setattr(packing, "GROUPS_A_TASK", 3)
+    df = spark.createDataFrame([(i, "pump " * (i % 90)) for i in range(900)], "doc_id long, text string")
+    got = packing.containers(df, "doc_id", "text").collect()
+    assert sorted(r.doc_id for r in got) == list(range(900)) and len({r.container.split("-")[0] for r in got}) > 100
+
+
+@pytest.mark.parametrize("n,prompt,parts", [(0, 0, [(0, 0)]), (10, 0, [(8, 8), (2, 2)]), (25, 4, [(10, 6), (8, 8), (7, 7)]), (30, 25, [(10, 0), (10, 0), (10, 5)])])
+def test_cuts(n, prompt, parts):
+    assert list(packing.cuts(n, prompt, 10, 8)) == parts
 
 
 def test_pack_respects_every_limit():
