@@ -165,7 +165,7 @@ class Engine:
             known = self._stored(asked, request, normal, name, key)
         if known is None:
             cached = False
-            hits = search.in_order(search.hits(pages, request, normal, detail)).persist()
+            hits = search.in_order(search.hits(pages, request, normal, detail, self._filled(name))).persist()
             known = Result(hits, request.words, chosen, normal, name, key, request)
             size = results.payload_bytes(known.hits).first().bytes
             known.count()
@@ -174,6 +174,10 @@ class Engine:
         self.log.append((asked[:16], query, mode, known.count(), size / 1024, None if cached else (self.clock() - began) * 1000, cached, began))
         return known
 
+    def _filled(self, name: str) -> bool:
+        """Whether every page of the generation has its case-folded text, so that one column answers a search."""
+        return bool((self.store.manifest(name) or {}).get("folded"))
+
     def _stored(self, asked: str, request: Request, normal: str, name: str, key: str) -> Result | None:
         """The result that was stored for a heavy query, taken into the cache."""
         entry = self.fixed.get(asked[:16], list(request.folders))
@@ -193,7 +197,7 @@ class Engine:
             raise ValueError(f"no export as {kind!r}")
         hits, r = result.hits, result.request
         if "detail" not in hits.columns:
-            hits = search.in_order(search.hits(self.store.read("pages", result.index_uuid), r, result.normalize_mode, detail=True))
+            hits = search.in_order(search.hits(self.store.read("pages", result.index_uuid), r, result.normalize_mode, detail=True, filled=self._filled(result.index_uuid)))
         named = {x.folder_id: x.folder_name or x.folder_id for x in self.folders_table.select("folder_id", "folder_name").collect()}
         meta = {
             "query": r.query, "mode": r.mode, "range_limit": r.range_limit, "space_mode": r.space_mode, "normalize_mode": result.normalize_mode, "folders": list(result.folder_ids),

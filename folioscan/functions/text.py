@@ -5,6 +5,7 @@ Every column builder is null in, null out; the empty string stays empty.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -17,7 +18,8 @@ from pyspark.sql.types import StringType
 CID = r"(?i)\(cid:\d+\)"
 INVISIBLE = "​‌‍⁠﻿  "  # each counts as one space
 JP = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
-SPACE = r"(?U)[\s\x1c-\x1f]"  # what Python's \s takes for a blank
+WIDE_SPACE = "\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # what Python's \s takes for a blank, but the space itself
+SPACE = f"[{WIDE_SPACE} ]"
 SNIPPET_BEFORE, SNIPPET_LENGTH = 40, 160
 DETAIL_BEFORE, DETAIL_LENGTH = 500, 2000
 FLEX_LONGEST = 64
@@ -35,7 +37,8 @@ def even_separators(c: Column) -> Column:
 
 
 def one_space(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE + "+", " ")
+    # a single space stays as it is: most blanks are such, and nothing is written for them
+    return F.regexp_replace(c, f"[{WIDE_SPACE}]{SPACE}*| {SPACE}+", " ")
 
 
 def _each(fn):
@@ -82,15 +85,32 @@ def space_mode(c: Column, mode: str) -> Column:
     if mode == "all":
         return F.regexp_replace(c, SPACE + "+", "")
     if mode == "jp":
-        return F.regexp_replace(c, rf"(?U)(?<=[{JP}])[\s\x1c-\x1f]+(?=[{JP}])", "")
+        return F.regexp_replace(c, f"(?<=[{JP}]){SPACE}+(?=[{JP}])", "")
     if mode == "none":
         return c
     raise ValueError(f"space mode {mode!r}")
 
 
+@functools.cache
+def _forms_udf():
+    even = str.maketrans(INVISIBLE, " " * len(INVISIBLE))
+
+    def run(values: pa.Array) -> pa.Array:
+        made = [None if v is None else _nfkc(v) for v in values.to_pylist()]
+        folded = [None if v is None else v.translate(even).casefold() for v in made]
+        return pa.StructArray.from_arrays([pa.array(made, pa.string()), pa.array(folded, pa.string())], ["n", "f"])
+
+    return F.arrow_udf(run, "n string, f string")
+
+
 def variants(raw: Column, folded: bool = True) -> dict[str, Column]:
-    """The derived columns of a page: three normal forms by three space modes."""
-    forms = {"norm": norm(raw), "norm_strict": norm_strict(raw)} | ({"norm_cf": norm_cf(raw)} if folded else {})
+    """The derived columns of a page: three normal forms by three space modes; the text goes to Python once."""
+    if folded:
+        both = _forms_udf()(strip_cid(raw))
+        plain, cf = one_space(F.lower(even_separators(both["n"]))), one_space(F.regexp_replace(both["f"], "[\n\t\r]", " "))
+        forms = {"norm": plain, "norm_strict": norm_strict(raw), "norm_cf": cf}
+    else:
+        forms = {"norm": norm(raw), "norm_strict": norm_strict(raw)}
     return {n + s: space_mode(c, m) for n, c in forms.items() for s, m in (("", "none"), ("_jp", "jp"), ("_all", "all"))}
 
 
@@ -108,19 +128,18 @@ def detail_window(raw: Column, pos: Column) -> Column:
     return detail_text(F.substring(raw, F.greatest(pos - DETAIL_BEFORE, F.lit(0)) + 1, F.lit(DETAIL_LENGTH)))
 
 
-def occurrences(text: Column, word: str) -> Column:
-    """ARRAY<INT> of all starts of *word*, overlapping ones too, 0-based.
+def starts(text: Column, groups: list[list[str]]) -> Column:
+    """ARRAY<STRUCT<n, h0, h1, ...>>: of each start of any word, in order, overlapping ones too, the characters up to the next start, and for each group whether one of its words starts there ("" if not).
 
-    The text is split in front of each occurrence; the running length of the
-    pieces gives the starts.  One pass, whatever the number of hits.
+    The first element stands for the text before the first start.  The text is
+    gone over once for its pieces and once for each group.
     """
-    pieces = F.split(text, "(?=" + java_quote(word) + ")")
-    lengths = F.transform(pieces, F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    run = F.aggregate(
-        lengths, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
-    )
-    return F.when(F.startswith(text, F.lit(word)), run).otherwise(F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0))))
+    some = "|".join(java_quote(w) for g in groups for w in g if w)
+    lengths = F.transform(F.split(text, f"(?={some})"), F.length)
+    hits = [F.regexp_extract_all(text, F.lit(f"(?=({'|'.join(java_quote(w) for w in sorted(g, key=len) if w)})?)(?={some})"), F.lit(1)) for g in groups]
+    # a text that begins with a start has no piece before it
+    n = F.when(F.size(lengths) > F.size(hits[0]), lengths).otherwise(F.concat(F.array(F.lit(0)), lengths))
+    return F.arrays_zip(n.alias("n"), *[F.concat(F.array(F.lit("")), h).alias(f"h{i}") for i, h in enumerate(hits)])
 
 
 def java_quote(word: str) -> str:

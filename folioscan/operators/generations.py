@@ -107,7 +107,7 @@ class Store:
             counts = {r.folder_id: r.file_count for r in manifest_counts(self.spark.read.parquet(str(build / "pages"))).collect()}
             parts = folders.select("folder_id", "path", "folder_name").collect()
             manifest = {
-                "index_uuid": name, "schema_version": SCHEMA_VERSION, "created_at": datetime.fromtimestamp(now, UTC).isoformat(), "created_timestamp": int(now),
+                "index_uuid": name, "schema_version": SCHEMA_VERSION, "created_at": datetime.fromtimestamp(now, UTC).isoformat(), "created_timestamp": int(now), "folded": "norm_cf" in frames["pages"].columns,
                 "source_folders_hash": source_hash(folders).first()[0], "folders": {r.folder_id: {"path": r.path, "name": r.folder_name, "file_count": counts.get(r.folder_id, 0)} for r in parts},
             }
             (build / "manifest.json").write_text(json.dumps(manifest, ensure_ascii=False))

@@ -52,11 +52,13 @@ def resolve_normalize(asked: str | None, default: str = "normalized", stored: bo
     return "exact" if mode == "normalized" and not stored else mode
 
 
-def variant(normalize_mode: str, space_mode: str, columns: list[str]) -> Column:
-    """The stored column a query reads; case-folded text falls back to the plain normal form where it is empty."""
+def variant(normalize_mode: str, space_mode: str, columns: list[str], filled: bool = False) -> Column:
+    """The stored column a query reads; case-folded text falls back to the plain normal form where it is empty, unless the store is known to be *filled*."""
     tail = {"none": "", "jp": "_jp", "all": "_all"}[space_mode]
     if normalize_mode == "exact":
         return F.col("norm_strict" + tail)
+    if filled:
+        return F.col("norm_cf" + tail)
     plain = F.col("norm" + tail)
     return F.coalesce(F.nullif(F.col("norm_cf" + tail), F.lit("")), plain) if "norm_cf" + tail in columns else plain
 
@@ -86,32 +88,26 @@ def matches_all(c: Column, words: list[list[str]]) -> Column:
 def least_span(c: Column, words: list[list[str]]) -> Column:
     """The smallest distance between the first and the last of one start per group; null without one.
 
-    The starts of all groups, sorted, are walked once: at each start the latest
+    The starts of all groups are walked once, in order: at each start the latest
     start of every group so far closes the best window that ends there.
     """
-    tagged = [_tagged(T.occurrences(c, w), i) for i, g in enumerate(words) for w in g if w]
-    starts = F.array_sort(F.concat(*tagged))
-    n = len(words)
-    none = F.lit(None).cast("int")
-    zero = F.struct(F.array_repeat(none, n).alias("last"), none.alias("best"))
+    n, none = len(words), F.lit(None).cast("int")
+    zero = F.struct(F.lit(0).alias("at"), *[none.alias(f"l{i}") for i in range(n)], none.alias("best"))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.transform(acc["last"], lambda v, i: F.when(i == x["g"], x["p"]).otherwise(v))
-        span = F.when(F.forall(last, lambda v: v.isNotNull()), x["p"] - F.array_min(last))
-        return F.struct(last.alias("last"), F.least(acc["best"], span).alias("best"))
+        last = [F.when(x[f"h{i}"] != "", acc["at"]).otherwise(acc[f"l{i}"]) for i in range(n)]
+        every = reduce(Column.__and__, [v.isNotNull() for v in last])
+        span = F.when(every, acc["at"] - (F.least(*last) if n > 1 else last[0]))
+        return F.struct((acc["at"] + x["n"]).alias("at"), *[v.alias(f"l{i}") for i, v in enumerate(last)], F.least(acc["best"], span).alias("best"))
 
-    return F.aggregate(starts, zero, step, lambda acc: acc["best"])
+    return F.aggregate(T.starts(c, words), zero, step, lambda acc: acc["best"])
 
 
-def _tagged(starts: Column, group: int) -> Column:
-    return F.transform(starts, lambda p: F.struct(p.alias("p"), F.lit(group).alias("g")))
-
-
-def matched(pages: DataFrame, request: Request, normalize_mode: str | None = None) -> DataFrame:
+def matched(pages: DataFrame, request: Request, normalize_mode: str | None = None, filled: bool = False) -> DataFrame:
     """The pages of the chosen folders that match."""
     mode = normalize_mode or resolve_normalize(request.normalize_mode)
     words = groups(request, mode)
-    c = variant(mode, request.space_mode, pages.columns)
+    c = variant(mode, request.space_mode, pages.columns, filled)
     pages = pages.where(F.col("folder_id").isin(list(request.folders)))
     if request.mode == "OR":
         return pages.where(matches_any(c, words))
@@ -130,9 +126,9 @@ def raw_position(raw: Column, words: tuple[str, ...], space_mode: str) -> Column
     return F.coalesce(*at, F.lit(-1))
 
 
-def hits(pages: DataFrame, request: Request, normalize_mode: str | None = None, detail: bool = False) -> DataFrame:
+def hits(pages: DataFrame, request: Request, normalize_mode: str | None = None, detail: bool = False, filled: bool = False) -> DataFrame:
     """One hit per matching page, with its snippet and where to look for more."""
-    out = matched(pages, request, normalize_mode).withColumn("_at", raw_position(F.col("raw"), request.words, request.space_mode))
+    out = matched(pages, request, normalize_mode, filled).withColumn("_at", raw_position(F.col("raw"), request.words, request.space_mode))
     start = F.greatest(F.col("_at") - T.SNIPPET_BEFORE, F.lit(0))
     snippet = T.snippet_text(F.substring(T.even_separators(F.col("raw")), start + 1, F.lit(T.SNIPPET_LENGTH)))
     pos = F.greatest(F.col("_at"), F.lit(0))

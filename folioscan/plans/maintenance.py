@@ -53,7 +53,9 @@ def retry_set(spark, d):
 
 
 def bootstrap_retry(spark, d):
-    return I.bootstrap_targets(_current(spark, d), _previous(spark, d), _indexed(spark, d))
+    """As if the pages of all .pdf files had been lost together with the failures."""
+    indexed = _indexed(spark, d).where(~F.lower("path").endswith(".pdf"))
+    return I.bootstrap_targets(_current(spark, d), _previous(spark, d), indexed)
 
 
 def kept_failures(spark, d):
@@ -157,7 +159,7 @@ SQL = {
     "diff_fullhash": f"WITH {_CUR}, {_PRE}, {_diff(_FP, _FH)} {_CLS}",
     "delete_two_strike": f"WITH {_CUR}, here AS (SELECT DISTINCT path FROM memory_pages WHERE folder_id IN (SELECT folder_id FROM folders WHERE ready)) SELECT cur.path, CASE WHEN here.path IS NOT NULL THEN CASE WHEN deletion_candidate_since IS NOT NULL THEN 'cleared' ELSE 'kept' END WHEN deletion_candidate_since IS NULL THEN 'candidate' ELSE 'deleted' END AS verdict, CASE WHEN here.path IS NULL THEN round(coalesce(deletion_candidate_since, {NOW}), 3) END AS since FROM cur LEFT JOIN here ON cur.path = here.path",
     "retry_set": f"WITH {_CUR}, {_PRE}, {_diff(_FP)}, {_FAIL} SELECT path FROM cls WHERE status IN ('new', 'changed') UNION SELECT path FROM fail WHERE path IN (SELECT path FROM cur)",
-    "bootstrap_retry": f"WITH {_CUR}, {_PRE}, {_IDX} SELECT DISTINCT path FROM cur WHERE path IN (SELECT path FROM pre) AND path NOT IN (SELECT path FROM idx)",
+    "bootstrap_retry": f"WITH {_CUR}, {_PRE}, {_IDX} SELECT DISTINCT path FROM cur WHERE path IN (SELECT path FROM pre) AND path NOT IN (SELECT path FROM idx WHERE lower(path) NOT LIKE '%.pdf')",
     "kept_failures": f"WITH {_FAIL}, {_IDX} SELECT * FROM fail WHERE path NOT IN (SELECT path FROM idx)",
     "merged_failures": f"WITH {_FAIL}, n AS (SELECT DISTINCT path, 'テキストなし' AS reason FROM file_state WHERE full_hash IS NULL AND inode IS NULL) SELECT coalesce(fail.path, n.path) AS path, coalesce(n.reason, fail.reason) AS reason FROM fail FULL OUTER JOIN n ON fail.path = n.path",
     "upsert_cache": f"WITH {_FAIL}, f AS (SELECT DISTINCT path, page_key, folder_id, raw || '*' AS raw FROM memory_pages WHERE indexed_at >= TIMESTAMP '{LATE}') SELECT path, page_key, folder_id, md5(raw) AS h FROM (SELECT path, page_key, folder_id, raw FROM memory_pages WHERE path NOT IN (SELECT path FROM f) AND path NOT IN (SELECT path FROM fail) UNION ALL SELECT * FROM f)",

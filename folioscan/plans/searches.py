@@ -30,6 +30,7 @@ REQUESTS = {
     "search_space_none": Request("冷却水 pump", ALL, mode="OR", space_mode="none"),
     "search_space_all": Request("floorplan", ALL, space_mode="all"),
     "search_folders": Request("the", SOME),
+    "snippet_flex": Request("協力会社の作業員が不在のときは", ALL),  # found across line ends too: its place is then that of the word with blanks between
 }
 
 
@@ -54,6 +55,14 @@ def _hits(spark: SparkSession, d: str, request: Request = AND, detail: bool = Fa
     return search.hits(table(spark, d, "memory_pages"), _of(spark, d, request), detail=detail).distinct()
 
 
+_PAGE = ["folder_id", "folder_name", "folder_ord", "path", "display_path", "file", "page", "page_key", "page_ord", "file_id"]
+
+
+def _found(spark: SparkSession, d: str, request: Request = AND) -> DataFrame:
+    """The pages that match, each once, without snippets: what is only counted, grouped or ordered needs none."""
+    return search.matched(table(spark, d, "memory_pages"), _of(spark, d, request)).select(*_PAGE).distinct()
+
+
 # SQL twins
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -144,28 +153,28 @@ def _detail_sql(pos: str) -> str:
 
 
 def facet_folder(spark, d):
-    return results.folder_facet(_hits(spark, d))
+    return results.folder_facet(_found(spark, d))
 
 
 def facet_extension(spark, d):
-    return results.extension_facet(_hits(spark, d))
+    return results.extension_facet(_found(spark, d))
 
 
 def group_by_file(spark, d):
-    return results.by_file(_hits(spark, d)).select("path", "file", "display_path", "folder_id", "n_hits", F.array_join("pages", ",").alias("pages"))
+    return results.by_file(_found(spark, d)).select("path", "file", "display_path", "folder_id", "n_hits", F.array_join("pages", ",").alias("pages"))
 
 
 def filter_results(spark, d):
-    return results.filtered(_hits(spark, d), list(SOME), [".PDF", ".docx"]).select("folder_id", "path", "page", F.col("detail_key.page").alias("page_key"))
+    return results.filtered(_found(spark, d), list(SOME), [".PDF", ".docx"]).select("folder_id", "path", "page", "page_key")
 
 
 def page_batch(spark, d):
-    return results.batch(search.in_order(_hits(spark, d)), 1, 20).select("path", F.col("detail_key.page").alias("page_key"))
+    return results.batch(search.in_order(_found(spark, d)), 1, 20).select("path", "page_key")
 
 
 def result_order(spark, d):
-    ordered = _hits(spark, d)
-    return ordered.select("folder_ord", "path", F.col("detail_key.page").alias("page_key")).orderBy(F.col("folder_ord").asc_nulls_last(), "path", "page_key")
+    """Every hit in the order of the engine."""
+    return search.in_order(_found(spark, d)).select("folder_ord", "path", "page_key", "page_ord")
 
 
 def export_rows(spark, d):
@@ -177,26 +186,48 @@ def payload_size(spark, d):
 
 
 def result_count(spark, d):
-    return _hits(spark, d).agg(F.count("*").alias("n"))
+    return _found(spark, d).agg(F.count("*").alias("n"))
 
 
 def highlight(spark, d):
     return _hits(spark, d).select("path", F.col("detail_key.page").alias("page_key"), results.highlight_one(F.col("context"), "pump").alias("marked"))
 
 
+def highlight_escapes(spark, d):
+    """Words that the escapes of signs are made of, on every document's ends around signs that are escaped."""
+    c = F.concat(F.substring("text", 1, 200), F.lit(" R & D's Amp <39> "), F.expr("substring(text, greatest(length(text) - 99, 1), 100)"))
+    return table(spark, d, "documents").select("doc_id", results.highlight_one(c, "amp").alias("marked"), results.highlight_one(c, "39").alias("marked_39"))
+
+
 def highlight_words(spark, d):
     found = _hits(spark, d).select("path", F.col("detail_key.page").alias("page_key"), "context")
     return results.highlight(found, "context", ["pump", "the pump", "lease"])
 
 
 def colliding_file_ids(spark, d):
-    return search.colliding_ids(table(spark, d, "memory_pages"))
+    """Ids cut to three digits, so that some name more than one file."""
+    return search.colliding_ids(table(spark, d, "memory_pages").withColumn("file_id", F.left("file_id", F.lit(3))))
+
+
+EDGE = Request("pump lease", ALL, range_limit=121)
+
+
+def search_range_boundary(spark, d):
+    """Pages within a distance, and whether they are within one less."""
+    near = lambda r: search.matched(table(spark, d, "memory_pages"), _of(spark, d, r)).select("page_id").distinct()
+    closer = near(replace(EDGE, range_limit=EDGE.range_limit - 1)).withColumn("_c", F.lit(True))
+    return near(EDGE).join(closer, "page_id", "left").select("page_id", F.coalesce("_c", F.lit(False)).alias("closer"))
+
+
+def _edge_sql() -> str:
+    part = lambda r: f"(WITH m AS (SELECT page_id AS k, {_column(r)} AS t FROM memory_pages WHERE folder_id IN (SELECT folder_id FROM folders) AND {_where(r, _column(r))}){_range(r)} SELECT k FROM n)"
+    return f"WITH a AS {part(EDGE)}, b AS {part(replace(EDGE, range_limit=EDGE.range_limit - 1))} SELECT k AS page_id, k IN (SELECT k FROM b) AS closer FROM a"
 
 
 QUERIES = {name: _search(r) for name, r in REQUESTS.items()} | {
     f.__name__: f
     for f in (
-        detail_window, detail_lookup, facet_folder, facet_extension, group_by_file, filter_results, page_batch, result_order, export_rows, payload_size, result_count, highlight, highlight_words, colliding_file_ids,
+        detail_window, detail_lookup, facet_folder, facet_extension, group_by_file, filter_results, page_batch, result_order, export_rows, payload_size, result_count, highlight, highlight_escapes, highlight_words, colliding_file_ids, search_range_boundary,
     )
 }
 
@@ -204,6 +235,23 @@ _SHOWN = f"WITH a AS (SELECT *, greatest({_position(AND)}, 0) AS pos FROM (SELEC
 _CONTEXT = f"'...' || {_snippet('substr(e, greatest(pos - 40, 0) + 1, 160)')} || '...'"
 _ESC = "replace(replace(replace(replace(replace(context, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
+
+
+def _field(column: str) -> str:
+    """A member of a JSON object; null where the column is."""
+    name, _, shown = column.partition(" AS ")
+    return f"'\"{shown or name}\":' || to_json({name})"
+
+
+def _marked_sql(word: str, c: str = "context") -> str:
+    """The raw text taken apart at the word, the parts escaped, and put together with marked occurrences."""
+    cut = f"regexp_replace({c}, '(?i)({word})', chr(1) || '\\1' || chr(2), 'g')"
+    whole = _ESC.replace("context", cut)
+    return f"replace(replace({whole}, chr(1), '<span class=\"highlight\">'), chr(2), '</span>')"
+
+
+_MARKUP_SQL = "substr(text, 1, 200) || ' R & D''s Amp <39> ' || substr(text, greatest(length(text) - 99, 1), 100)"
+
 SQL = {name: _sql(r) for name, r in REQUESTS.items()} | {
     "detail_window": _SHOWN + f"SELECT DISTINCT path, page_key, {_detail_sql('pos')} AS detail FROM a",
     "detail_lookup": f"SELECT DISTINCT path, page_key, {_detail_sql('700')} AS detail FROM memory_pages WHERE (file_id, page_key) = (SELECT (file_id, page_key) FROM memory_pages WHERE file_id IS NOT NULL ORDER BY file_id, page_key LIMIT 1)",
@@ -214,10 +262,15 @@ SQL = {name: _sql(r) for name, r in REQUESTS.items()} | {
     "coalesce(array_to_string(list_transform(list_sort(list_distinct(list({'n': coalesce(try_cast(page AS INT), 2147483647), 'p': page}) FILTER (page <> '-'))), lambda x: x.p), ','), '') AS pages FROM h GROUP BY path",
     "filter_results": _BASE + f"SELECT folder_id, path, page, page_key FROM h WHERE folder_id IN ({', '.join(repr(f) for f in SOME)}) AND {_EXT} IN ('.pdf', '.docx')",
     "page_batch": _BASE + "SELECT path, page_key FROM h ORDER BY folder_ord NULLS LAST, path, page_ord LIMIT 20 OFFSET 20",
-    "result_order": _BASE + "SELECT folder_ord, path, page_key FROM h",
-    "export_rows": _SHOWN + f"SELECT DISTINCT file, path, page, coalesce(folder_name, folder_id) AS folder, {_CONTEXT} AS context, {_detail_sql('pos')} AS detail FROM a",
+    "result_order": _BASE + "SELECT folder_ord, path, page_key, page_ord FROM h",
+    "export_rows": _SHOWN + f"SELECT DISTINCT file, coalesce(display_path, path) AS path, page, coalesce(folder_name, folder_id) AS folder, {_CONTEXT} AS context, {_detail_sql('pos')} AS detail FROM a",
     "result_count": _BASE + "SELECT count(*) AS n FROM h",
-    "highlight": _SHOWN + f", c AS (SELECT DISTINCT path, page_key, {_CONTEXT} AS context FROM a) SELECT path, page_key, regexp_replace({_ESC}, '(?i)(pump)', '<span class=\"highlight\">\\1</span>', 'g') AS marked FROM c",
+    "highlight": _SHOWN + f", c AS (SELECT DISTINCT path, page_key, {_CONTEXT} AS context FROM a) SELECT path, page_key, {_marked_sql('pump')} AS marked FROM c",
+    "highlight_escapes": f"SELECT doc_id, {_marked_sql('amp')} AS marked, {_marked_sql('39', 'context')} AS marked_39 FROM (SELECT doc_id, {_MARKUP_SQL} AS context FROM documents)",
+    "payload_size": _SHOWN + f", h AS (SELECT DISTINCT file, path, display_path, page, {_CONTEXT} AS context, coalesce(file_id, left(sha256(path), 12)) AS file_id, page_key, CAST(pos AS INT) AS hit_pos, folder_id, folder_name, folder_ord, page_ord FROM a), "
+    "j AS (SELECT list_filter([" + ", ".join([*(_field(c) for c in ("file", "path", "display_path", "page", "context")), "'\"detail_key\":{' || array_to_string(list_filter([" + ", ".join(_field(c) for c in ("file_id", "page_key AS page", "hit_pos")) + "], lambda x: x IS NOT NULL), ',') || '}'", *(_field(c) for c in ("folder_id", "folder_name", "folder_ord", "page_ord"))]) + "], lambda x: x IS NOT NULL) AS parts FROM h) "
+    "SELECT coalesce(sum(octet_length(encode('{' || array_to_string(parts, ',') || '}'))), 0)::BIGINT AS bytes FROM j",
     "highlight_words": _SHOWN + f", c AS (SELECT DISTINCT path, page_key, {_CONTEXT} AS context FROM a) SELECT path, page_key, context, regexp_replace({_ESC}, '(?i)(the pump|lease|pump)', '<span class=\"highlight\">\\1</span>', 'g') AS marked FROM c",
-    "colliding_file_ids": "SELECT file_id, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM memory_pages GROUP BY 1 HAVING count(DISTINCT path) > 1",
+    "colliding_file_ids": "SELECT left(file_id, 3) AS file_id, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM memory_pages GROUP BY 1 HAVING count(DISTINCT path) > 1",
+    "search_range_boundary": _edge_sql(),
 }

@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from folioscan.engine import Engine
+from folioscan.functions import ids
 from folioscan.operators import incremental as inc
 from folioscan.operators.components import components
 from folioscan.operators.generations import retention
@@ -51,6 +52,17 @@ def test_readers():
     assert list(files.extract_file("/a/x.txt", None))[0][5] == files.EMPTY_FILE
 
 
+def test_digests_from_both_ends(spark, tmp_path):
+    sizes = (0, 10, 64, 65, 127, 128, 129, 300)
+    rows = [(str(tmp_path / f"f{n}.txt"), bytes(i * i % 251 for i in range(n))) for n in sizes]
+    for p, b in rows:
+        with open(p, "wb") as f:
+            f.write(b)
+    df = spark.createDataFrame([*rows, ("/none/x.txt", None)], "path string, content binary")
+    want = {r[0]: (r[1], r[2]) for r in df.select("path", ids.fast_fingerprint(F.col("content"), 64), ids.full_hash(F.col("content"))).collect()}
+    assert {r.path: (r.fast_fp, r.full_hash) for r in files.digests(df, full=True, ends=64).collect()} == want and want["/none/x.txt"] == (None, None)
+
+
 def test_sheet_cells():
     m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

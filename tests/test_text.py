@@ -35,9 +35,18 @@ def test_space_modes(spark):
         T.space_mode(F.col("t"), "x")
 
 
-def test_occurrences_overlap(spark):
+def test_starts_overlap(spark):
     df = spark.createDataFrame([("aaaa",), ("xaab",), ("b",), ("",), (None,)], "t string")
-    assert [r[0] for r in df.select(T.occurrences(F.col("t"), "aa")).collect()] == [[0, 1, 2], [1], [], [], None]
+    got = [r[0] for r in df.select(T.starts(F.col("t"), [["aa"], ["ab", "aab"]])).collect()]
+    assert [None if x is None else [(p.n, bool(p.h0), bool(p.h1)) for p in x] for x in got] == [
+        [(0, False, False), (1, True, False), (1, True, False), (2, True, False)], [(1, False, False), (1, True, True), (2, False, True)], [(1, False, False)], [(0, False, False)], None,
+    ]
+
+
+def test_blanks_as_python_takes_them(spark):
+    every = "a" + "b".join(chr(c) * n for c in range(0x3100) if chr(c).isspace() for n in (1, 2)) + " c \t\u3000 d  e"
+    df = spark.createDataFrame([(every,)], "t string")
+    assert df.select(T.one_space(F.col("t"))).first()[0] == re.sub(r"\s+", " ", every)
 
 
 def test_detail_keeps_indented_lines(spark):
