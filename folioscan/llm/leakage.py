@@ -18,7 +18,7 @@ from folioscan.operators.arrow import flat_map
 
 MIN_RUN = 48  # letters and digits in a row
 MIN_RUN_JA = 24  # the same for items whose lang is ja
-MAX_ITEM_CHARS = 64_000_000  # the automaton is held by every worker: a larger query set goes in several calls
+MAX_ITEM_CHARS = 8_000_000  # every worker process holds the automaton, at 66 MB a million: a larger query set goes in several calls
 
 
 def fold(text: str) -> str:
