@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.functions.ids import folders_hash
+from folioscan.sources.shared import Shared
 
 SCHEMA_VERSION = "1"
 
@@ -65,82 +63,75 @@ class Store:
     a build that fails leaves nothing behind.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+    POINTER = "current.txt"
 
-    @property
-    def pointer(self) -> Path:
-        return self.root / "current.txt"
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.files = spark, Shared(spark, root)
 
     def names(self) -> list[str]:
         """Newest first."""
-        found = [p.name[4:] for p in self.root.glob("gen_*") if p.is_dir()]
-        return sorted(found, key=lambda n: (-(self.manifest(n) or {}).get("created_timestamp", 0) or -int(n.split("_")[0]) if n.split("_")[0].isdigit() else 0, n))
+        found = [n[4:] for n in self.files.folders() if n.startswith("gen_")]
+        made = {n: (self.manifest(n) or {}).get("created_timestamp") or (int(head) if (head := n.split("_")[0]).isdigit() else 0) for n in found}
+        return sorted(found, key=lambda n: (-made[n], n))
 
     def current(self) -> str | None:
         """The pointer's generation; without a pointer the newest, which the pointer then names."""
-        if self.pointer.exists() and (self.root / f"gen_{(name := self.pointer.read_text().strip())}").is_dir():
+        name = (self.files.read(self.POINTER) or "").strip()
+        if name and self.files.is_dir(f"gen_{name}"):
             return name
         names = self.names()
         if names:
-            self._point(names[0])
+            self.files.write(self.POINTER, names[0])
         return names[0] if names else None
 
-    def _point(self, name: str) -> None:
-        swap = self.pointer.with_suffix(".new")
-        swap.write_text(name)
-        os.replace(swap, self.pointer)
-
     def manifest(self, name: str) -> dict | None:
         try:
-            return json.loads((self.root / f"gen_{name}" / "manifest.json").read_text())
-        except (OSError, ValueError):
+            return json.loads(self.files.read(f"gen_{name}/manifest.json") or "null")
+        except ValueError:
             return None
 
     def commit(self, name: str, frames: dict[str, DataFrame], folders: DataFrame, now: float) -> str:
         """Write all frames to a build folder, give it its name, then swap the pointer."""
-        build, final = self.root / ".build" / f"gen_{name}", self.root / f"gen_{name}"
+        build = f".build/gen_{name}"
         try:
             for table, df in frames.items():
                 writer = df.write.mode("overwrite")
-                (writer.partitionBy("folder_id") if table == "pages" else writer).parquet(str(build / table))
-            counts = {r.folder_id: r.file_count for r in manifest_counts(self.spark.read.parquet(str(build / "pages"))).collect()}
+                (writer.partitionBy("folder_id") if table == "pages" else writer).parquet(self.files.place(f"{build}/{table}"))
+            counts = {r.folder_id: r.file_count for r in manifest_counts(self.spark.read.parquet(self.files.place(f"{build}/pages"))).collect()}
             parts = folders.select("folder_id", "path", "folder_name").collect()
             manifest = {
                 "index_uuid": name, "schema_version": SCHEMA_VERSION, "created_at": datetime.fromtimestamp(now, UTC).isoformat(), "created_timestamp": int(now), "folded": "norm_cf" in frames["pages"].columns,
                 "source_folders_hash": source_hash(folders).first()[0], "folders": {r.folder_id: {"path": r.path, "name": r.folder_name, "file_count": counts.get(r.folder_id, 0)} for r in parts},
             }
-            (build / "manifest.json").write_text(json.dumps(manifest, ensure_ascii=False))
-            build.rename(final)
+            self.files.write(f"{build}/manifest.json", json.dumps(manifest, ensure_ascii=False))
+            self.files.rename(build, f"gen_{name}")
         except BaseException:
-            shutil.rmtree(build, ignore_errors=True)
+            self.files.delete(build)
             raise
-        self._point(name)
+        self.files.write(self.POINTER, name)
         return name
 
     def stage(self, name: str, table: str, df: DataFrame) -> DataFrame:
         """A frame that a build needs more than once, written and read from there."""
-        place = str(self.root / ".stage" / name / table)
+        place = self.files.place(f".stage/{name}/{table}")
         df.write.mode("overwrite").parquet(place)
         return self.spark.read.schema(df.schema).parquet(place)
 
     def unstage(self, name: str) -> None:
-        shutil.rmtree(self.root / ".stage" / name, ignore_errors=True)
+        self.files.delete(f".stage/{name}")
 
     def read(self, table: str, name: str | None = None) -> DataFrame | None:
         name = name or self.current()
-        place = self.root / f"gen_{name}" / table
-        return self.spark.read.parquet(str(place)) if name and place.is_dir() else None
+        place = f"gen_{name}/{table}"
+        return self.spark.read.parquet(self.files.place(place)) if name and self.files.is_dir(place) else None
 
     def generations(self) -> DataFrame:
-        rows = []
-        for n in self.names():
-            size = sum(f.stat().st_size for f in (self.root / f"gen_{n}").rglob("*") if f.is_file())
-            rows.append((n, (self.manifest(n) or {}).get("created_timestamp"), size, n == self.current()))
+        current = self.current()
+        rows = [(n, (self.manifest(n) or {}).get("created_timestamp"), self.files.size(f"gen_{n}"), n == current) for n in self.names()]
         return self.spark.createDataFrame(rows, "gen_name string, created_timestamp bigint, bytes bigint, is_current boolean")
 
     def clean(self, now: float, **limits) -> list[str]:
         gone = [r.gen_name for r in retention(self.generations(), now, **limits).where("reason is not null").collect()]
         for n in gone:
-            shutil.rmtree(self.root / f"gen_{n}", ignore_errors=True)
+            self.files.delete(f"gen_{n}")
         return gone

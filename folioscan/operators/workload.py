@@ -54,7 +54,7 @@ def pruned(stats: DataFrame, now: Column, ttl_days: float = 30) -> DataFrame:
 
 
 def ready_folders(stats: DataFrame, folders: DataFrame, column: str = "folders") -> DataFrame:
-    """The folder ids of each row that are ready; folders are a small configured table."""
+    """The folder ids of each row that are ready; folders are a small configured table, here one row."""
     ready = folders.where("ready").agg(F.collect_set("folder_id").alias("_ready"))
     return stats.join(F.broadcast(ready)).withColumn(column, F.array_sort(F.array_intersect(column, "_ready"))).drop("_ready")
 

@@ -34,7 +34,7 @@ def _classified(mode: str):
 
 def delete_two_strike(spark, d):
     """Pages of folders that are ready are what a scan finds now."""
-    ready = F.broadcast(table(spark, d, "folders").where("ready").select("folder_id"))
+    ready = table(spark, d, "folders").where("ready").select("folder_id")
     here = table(spark, d, "memory_pages").join(ready, "folder_id", "left_semi").select("path")
     return I.two_strikes(_current(spark, d), here, NOW).select("path", "verdict", F.round("deletion_candidate_since", 3).alias("since"))
 

@@ -13,6 +13,7 @@ from folioscan.operators import incremental as inc
 from folioscan.operators.components import components
 from folioscan.operators.generations import retention
 from folioscan.sources import config, files
+from folioscan.sources.shared import Shared
 from folioscan.streaming import batches
 
 
@@ -130,6 +131,18 @@ def test_failures_are_tried_again(spark, tmp_path):
     assert e.rebuild(base, allow_shrink=True) and not e.rebuild(base, allow_shrink=True)
 
 
+def test_shared_folder(spark, tmp_path):
+    f = Shared(spark, str(tmp_path / "s"))
+    assert f.read("x") is None and f.folders() == [] and f.size("x") == 0 and not f.is_dir("x")
+    f.write("a/x", "é1")
+    f.write("a/x", "é2")
+    assert f.read("a/x") == "é2" and f.folders() == ["a"] and f.size("a") == 3 and f.is_dir("a")
+    f.rename("a", "b/c")
+    assert f.read("b/c/x") == "é2" and f.folders() == ["b"]
+    f.delete("b")
+    assert f.folders() == []
+
+
 def test_failure_sample(spark):
     df = spark.createDataFrame([(f"/{i}", "r") for i in range(8)], "path string, reason string")
     assert inc.failure_sample(df) == [f"[{i + 1}] /{i}: r" for i in range(5)] + ["... 3 more"] and inc.failure_sample(df.limit(0)) == []
@@ -191,7 +204,7 @@ def test_build_and_search(spark, tmp_path):
     e.build(base, allow_shrink=True)
     assert e.search("pump", ["f1"]).count() == 1 and e.search("old", ["f1"]).count() == 1
     assert e.clean(keep=1, grace_sec=0) == [first] and e.warm() == 2
-    e.store.pointer.unlink()
+    e.store.files.delete(e.store.POINTER)
     assert e.store.current() is not None
 
 
