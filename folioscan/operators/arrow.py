@@ -6,10 +6,24 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+SMALL = 128 << 20  # bytes for each core below which a table may lie in too few row groups to keep all cores busy
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table spread over all cores before a kernel that takes long for each row; a large one stays where it is.
+
+    What is moved is bounded by SMALL bytes a core; which rows come out doesn't change.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(4 * cores, F.xxhash64(*df.columns)) if size < SMALL * cores else df
+
+
 def flat_map(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str | StructType) -> DataFrame:
     """Each row of *df*, given to *kernel* as positional values, becomes the tuples it yields.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscan.operators.arrow import flat_map
+from folioscan.operators.arrow import flat_map, spread
 
 TARGET, LEAST, MOST, OVERLAP = 1200, 600, 1800, 200
 _MARKER = re.compile(r"\s*--+\s*page\s*(\d+)?\s*--+\s*", re.IGNORECASE)
@@ -77,7 +77,7 @@ def chunked(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page_no, page_ord, raw), one row per page of every text; other columns are not looked at."""
     kind = df.schema[key].dataType.simpleString()
     slim = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    return flat_map(slim, lambda k, t: ((k, n, i, p) for i, (n, p) in enumerate(text_pages(t))), f"`{key}` {kind}, page_no int, page_ord int, raw string")
+    return flat_map(spread(slim), lambda k, t: ((k, n, i, p) for i, (n, p) in enumerate(text_pages(t))), f"`{key}` {kind}, page_no int, page_ord int, raw string")
 
 
 def sheet_blocks(rows: DataFrame, size: int = 40) -> DataFrame:

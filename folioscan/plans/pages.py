@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import ids
 from folioscan.functions import text as T
 from folioscan.operators import chunk
+from folioscan.operators.arrow import spread
 from folioscan.plans.searches import EVEN, WS, _snippet, _strip
 from folioscan.schema import VARIANTS
 from folioscan.sources import config
@@ -19,7 +20,8 @@ ALIASES = {"nas-a": "NAS:a", "nas-b": "文書庫B", "nas-c": "文書庫C"}
 
 def norm_variants(spark: SparkSession, d: str) -> DataFrame:
     """All nine derived columns made anew from the raw text."""
-    made = table(spark, d, "memory_pages").select("page_id", F.col("norm_cf").isNull().alias("_bare"), *[c.alias(n) for n, c in T.variants(F.col("raw")).items()])
+    rows = spread(table(spark, d, "memory_pages").select("page_id", F.col("norm_cf").isNull().alias("_bare"), "raw"))
+    made = rows.select("page_id", "_bare", *[c.alias(n) for n, c in T.variants(F.col("raw")).items()])
     shown = [F.when(F.col("_bare") & F.lit(n.startswith("norm_cf")), None).otherwise(F.md5(n)).alias(n) for n in VARIANTS]
     return made.select("page_id", *shown).distinct()
 
