@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.lookalike import skeleton
 from folioscan.llm.seeds import ABUSIVE, GROUPS, SOBER
-from folioscan.operators.arrow import flat_map
+from folioscan.operators.arrow import flat_map, spread
 
 SAMPLE = 20_000  # rated documents the classifier is fitted on, by the hash of their id, up to half of them with a rating of abuse
 SAMPLE_CHARS = 100_000  # a longer document isn't taken into the sample
@@ -355,4 +355,4 @@ def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     model = train(sorted(rated_texts(documents, labels, sample)))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return flat_map(documents.select("doc_id", "source", "text"), lambda d, s, t: ((d, s, shared.value.score(t)),), f"doc_id {kind}, source string, score double")
+    return flat_map(spread(documents.select("doc_id", "source", "text")), lambda d, s, t: ((d, s, shared.value.score(t)),), f"doc_id {kind}, source string, score double")

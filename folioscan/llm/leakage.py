@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators.arrow import flat_map
+from folioscan.operators.arrow import flat_map, spread
 
 MIN_RUN = 48  # letters and digits in a row
 MIN_RUN_JA = 24  # the same for items whose lang is ja
@@ -133,4 +133,4 @@ def leaks(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text
         for hit in items.value.scan(t):
             yield k, *hit
 
-    return flat_map(slim, kernel, f"`{key}` {kind}, item_id {eval_items.schema['item_id'].dataType.simpleString()}, field string, start int, end int, run int").distinct()
+    return flat_map(spread(slim), kernel, f"`{key}` {kind}, item_id {eval_items.schema['item_id'].dataType.simpleString()}, field string, start int, end int, run int").distinct()

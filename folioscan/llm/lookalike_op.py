@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.lookalike import skeleton
-from folioscan.operators.arrow import flat_map
+from folioscan.operators.arrow import flat_map, spread
 from folioscan.operators.checkpoints import ensure_checkpoint_dir
 from folioscan.operators.skew import spread_join
 
@@ -34,7 +34,7 @@ def _mapped(df: DataFrame, key: str, text: str) -> DataFrame:
         m = skeleton(t)
         yield k, h, h if m == t else _digest(m), _digest("".join(filter(str.isalnum, m)))[:32], m
 
-    return flat_map(slim.select("key", F.sha2("text", 256), "text"), kernel, f"key {kind}, text_hash string, mapped_hash string, letters_hash string, mapped string")
+    return flat_map(spread(slim).select("key", F.sha2("text", 256), "text"), kernel, f"key {kind}, text_hash string, mapped_hash string, letters_hash string, mapped string")
 
 
 def _merged(short: DataFrame, mapped: DataFrame) -> DataFrame:

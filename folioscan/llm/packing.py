@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators.arrow import flat_map
+from folioscan.operators.arrow import flat_map, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
@@ -65,7 +65,7 @@ def sizes(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, capaci
         for part, (size, loss) in enumerate(cuts(n, prompt, capacity, max_loss)):
             yield k, h, part, size, int(size > 0), loss
 
-    rows = flat_map(slim, kernel, f"key {kind}, text_hash bigint, part int, tokens int, segments int, loss int").distinct()
+    rows = flat_map(spread(slim), kernel, f"key {kind}, text_hash bigint, part int, tokens int, segments int, loss int").distinct()
     return rows.select(F.col("key").alias(key), "part", "tokens", "segments", "loss")
 
 
