@@ -20,7 +20,7 @@ def spread(df: DataFrame) -> DataFrame:
     What is moved is bounded by SMALL bytes a core; which rows come out doesn't change.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(4 * cores, F.xxhash64(*df.columns)) if size < SMALL * cores else df
 
 
