@@ -20,8 +20,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def drop_checkpoint(df: DataFrame) -> None:
     """Delete the files of a frame that checkpoint() gave, once nothing reads it any more."""
-    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if file.isDefined():
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
         _delete(df.sparkSession, file.get())
 
 

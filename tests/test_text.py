@@ -1,3 +1,4 @@
+import hashlib
 import re
 import unicodedata
 
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioscan.functions import ids
 from folioscan.functions import text as T
 from folioscan.operators import results
 
@@ -75,3 +77,9 @@ def test_marks_longest_first():
     assert results.spans("ab ab", ["ab", "b a"]) == [(0, 2), (3, 5)] or results.spans("ab ab", ["ab", "b a"]) == [(1, 4)]
     assert results.spans("東 京", ["東京"]) == [(0, 3)]
     assert results.spans("", ["x"]) == []
+
+
+def test_directory_names(spark):
+    df = spark.createDataFrame([("/a/b",), (None,)], "p string")
+    name, file = df.select(ids.directory_name(F.col("p")).alias("d"), ids.file_id(F.col("p")).alias("f")).first()
+    assert name == file == hashlib.sha256(b"/a/b").hexdigest()[:12] and df.select(ids.folder_id(F.col("p"))).collect()[1][0] is None

@@ -74,3 +74,9 @@ def test_small_functions():
 def test_full_hash_policy(spark):
     df = spark.createDataFrame([("/mnt/a.txt",), ("/home/a.PDF",), ("/home/a.txt",)], "p string")
     assert [r[0] for r in df.select(timing.wants_full_hash(F.col("p"), (), (".pdf",))).collect()] == [True, True, False]
+
+
+def test_stale_ids(spark):
+    df = spark.createDataFrame([(["a", "x", "b"],), ([],), (None,)], "folders array<string>")
+    got = lambda known: [r[0] for r in df.select(workload.stale_ids(F.col("folders"), known)).collect()]
+    assert got(["b", "a"]) == [["a", "b"], [], None] and got([]) == [[], [], None]
