@@ -38,7 +38,6 @@ _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 _MIX = _rng.integers(1, 2**63, PIECE, dtype=np.uint64) | np.uint64(1)
-_SEG = _rng.integers(1, 2**63, SEGMENT, dtype=np.uint64) | np.uint64(1)
 
 
 def pieces(text: str) -> np.ndarray:
