@@ -62,6 +62,7 @@ class Engine:
         self.cache = cache or workload.ResultCache()
         self.cache.on_drop = lambda result: result.hits.unpersist()  # what leaves the cache leaves the executors
         self.fixed = None  # stored results of heavy queries, see serving.FixedCache
+        self._warm: tuple[str, DataFrame, int] | None = None
         self.presence = workload.Presence()
         self.log: deque[tuple] = deque(maxlen=MAX_LOG)
         self.rebuilds = workload.Cooldown(rebuild_wait, clock)
@@ -226,5 +227,11 @@ class Engine:
         return workload.query_stats(self.query_log())
 
     def warm(self) -> int:
-        """Read the current generation once, as after a switch of generations."""
-        return self.store.read("pages").persist().count()
+        """Read the current generation once, as after a switch of generations; the one before is let go. Gives its number of pages."""
+        name = self.store.current()
+        if self._warm is None or self._warm[0] != name:
+            if self._warm is not None:
+                self._warm[1].unpersist()
+            pages = self.store.read("pages", name).persist()
+            self._warm = (name, pages, pages.count())
+        return self._warm[2]

@@ -88,10 +88,11 @@ def worker_budget(spark, d):
 
 
 def keep_warm_due(spark, d):
-    """At each heartbeat: was there no search for ten minutes, as far as that beat's client saw?"""
+    """At each heartbeat: is a warm-up due, if the last one was at an even hour and a third of the beats see a search running?"""
     last = table(spark, d, "query_log").agg(F.max("ts").alias("last_search"))
     beats = table(spark, d, "heartbeats").where("ts is not null").select(F.floor(F.col("ts") * 1000).cast("bigint").alias("ts_ms")).distinct()
-    due = timing.keep_warm_due(F.col("last_search"), F.lit(0.0), F.lit(0), F.col("ts_ms") / 1000, 600, 3600)
+    warmed, running = F.floor(F.col("ts_ms") / 7_200_000) * 7200, F.pmod("ts_ms", F.lit(3)) - 1
+    due = timing.keep_warm_due(F.col("last_search"), warmed, running, F.col("ts_ms") / 1000, 600, 3600)
     return beats.join(F.broadcast(last)).select("ts_ms", due.alias("due"))
 
 
@@ -147,7 +148,7 @@ SQL = {
     "k AS (SELECT id, ts, pinned FROM l WHERE n = 1 ORDER BY ts DESC, id LIMIT 30) SELECT id, ts, pinned FROM i WHERE pinned UNION ALL SELECT * FROM k",
     "presence_ttl": _PRES + " SELECT * FROM p",
     "worker_budget": _PRES + " SELECT ts_ms, CAST(greatest(1, least(6, floor(6 / greatest(n_active, 1)))) AS BIGINT) AS workers FROM p",
-    "keep_warm_due": "SELECT DISTINCT CAST(floor(ts * 1000) AS BIGINT) AS ts_ms, floor(ts * 1000) / 1000 - (SELECT max(ts) FROM query_log) >= 600 AND floor(ts * 1000) / 1000 >= 3600 AS due FROM heartbeats WHERE ts IS NOT NULL",
+    "keep_warm_due": "SELECT DISTINCT CAST(floor(ts * 1000) AS BIGINT) AS ts_ms, floor(ts * 1000) / 1000 - (SELECT max(ts) FROM query_log) >= 600 AND CAST(floor(ts * 1000) AS BIGINT) % 7200000 >= 3600000 AND CAST(floor(ts * 1000) AS BIGINT) % 3 < 2 AS due FROM heartbeats WHERE ts IS NOT NULL",
     "schedule_next": "WITH q AS (SELECT DISTINCT CAST(floor(ts) AS BIGINT) AS t FROM query_log WHERE ts IS NOT NULL) SELECT t, t // 86400 * 86400 + 19800 + CASE WHEN t // 86400 * 86400 + 19800 <= t THEN 86400 ELSE 0 END AS next FROM q",
     "relative_time": f"WITH q AS (SELECT DISTINCT CAST(floor(ts) AS BIGINT) AS t FROM query_log WHERE ts IS NOT NULL) SELECT t, CASE WHEN {int(NOW)} - t < 60 THEN '今' WHEN {int(NOW)} - t < 3600 THEN (({int(NOW)} - t) // 60) || '分前' WHEN {int(NOW)} - t < 86400 THEN (({int(NOW)} - t) // 3600) || '時間前' WHEN {int(NOW)} - t < 7 * 86400 THEN (({int(NOW)} - t) // 86400) || '日前' ELSE strftime(make_timestamp(t * 1000000), '%Y-%m-%d') END AS label FROM q",
     "stream_presence": f"WITH {_BEATS}, m AS (SELECT client_id, max(t) AS last_ms FROM b GROUP BY 1) SELECT client_id, last_ms FROM m WHERE (SELECT max(t) FROM b) - last_ms <= {TTL * 1000}",
