@@ -12,6 +12,7 @@ alone carries no weight.  A document's score is that of its worst sentence.
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import math
 import random
@@ -31,10 +32,12 @@ SAMPLE = 20_000  # rated documents the classifier is fitted on, by the hash of t
 SAMPLE_CHARS = 100_000  # a longer document isn't taken into the sample
 ROUNDS = 4
 KEPT_PARTS = 200_000  # words and runs whose part of the score a process remembers
-THRESHOLD = 0.06  # of the worst sentence's probability; chosen with PROMOTE on held-out ratings
-PROMOTE = 0.15  # score that the best sentence of a document rated abusive needs before it counts as the abusive one
+THRESHOLD = 0.06  # of the worst sentence's probability; chosen on held-out ratings
 THIN = 8  # of the sentences of unabusive documents one in so many is in every fit, for the others too, which join it once they score HARD
 HARD = 0.005
+L2 = 0.5  # most that the penalty on squared weights counts against the sum over sentences: a word seen in a few weighs no less in a large sample
+ALIKE = 0.4  # words in common, of those in either, that make sentences alike: the same wording about other things
+TRIED = 3  # best sentences of a document rated abusive that may be the abusive one
 
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _CJK = "ぁ-ヿ㐀-鿿"
@@ -260,6 +263,7 @@ def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, pairs: tuple[_Rows, _Ro
     # the rarer kind counts for a fifth of all, whatever the size of the sample
     weight = np.where(y > 0, weight * (0.25 * weight[y == 0].sum() / max(weight[y > 0].sum(), 1e-9)), weight)
     total = weight.sum()
+    l2 = min(l2, L2 / total)
     history = np.full(size + 1, 1e-8)
     for step in range(steps):
         z = rows.dot(w[:-1]) + w[-1]
@@ -281,8 +285,51 @@ def _probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rated: list[tuple[str, float]]) -> Model:
-    """*rated*: (text, share of raters that found it abusive).
+def rating_error(votes: list[tuple[float, int]]) -> float:
+    """How often a rating errs, from how often raters of one document differ; *votes*: (share that found it abusive, raters)."""
+    several = [(r, n) for r, n in votes if n > 1]
+    # of two ratings one errs with 2e(1-e); counts as if one more of ten pairs had differed
+    differ = (1 + sum(2 * r * (1 - r) * n / (n - 1) for r, n in several)) / (10 + len(several))
+    return (1 - math.sqrt(max(0.04, 1 - 2 * differ))) / 2
+
+
+def _wording(sentence: str) -> set[str]:
+    return {*words(sentence), *(run[i : i + 2] for run in runs(sentence) for i in range(len(run) - 1))}
+
+
+class _Evidence:
+    """What the ratings of all documents that hold a sentence, or one like it, say of it: the sum of their log odds."""
+
+    def __init__(self, texts: list[str], of_doc: list[list[int]], odds: list[float]):
+        self.number: dict[str, int] = {}
+        bags = [sorted({self.number.setdefault(f, len(self.number)) for f in _wording(t)}) for t in texts]
+        self.size = np.array([len(b) for b in bags], np.int64)
+        column = np.fromiter(itertools.chain.from_iterable(bags), np.int32, int(self.size.sum()))
+        order = np.argsort(column, kind="stable")
+        self.rows = np.repeat(np.arange(len(bags), dtype=np.int32), self.size)[order]
+        self.start = np.searchsorted(column[order], np.arange(len(self.number) + 1))
+        self.texts, self.odds = texts, np.array(odds)
+        pairs = np.array([(i, d) for d, ids in enumerate(of_doc) for i in set(ids)], np.int64).reshape(-1, 2)
+        self.docs = pairs[np.argsort(pairs[:, 0], kind="stable"), 1]
+        self.held = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=len(texts)))])
+        self.known: dict[int, float] = {}
+
+    def of(self, i: int) -> float:
+        if i not in self.known:
+            own = [self.number[f] for f in _wording(self.texts[i])]
+            shared = np.bincount(np.concatenate([[i], *(self.rows[self.start[f] : self.start[f + 1]] for f in own)]).astype(np.int64), minlength=len(self.texts))
+            near = np.flatnonzero(shared >= ALIKE * np.maximum(self.size + len(own) - shared, 1))
+            docs = {d for j in {i, *near.tolist()} for d in self.docs[self.held[j] : self.held[j + 1]].tolist()}
+            self.known[i] = float(self.odds[sorted(docs)].sum())
+        return self.known[i]
+
+
+def train(rated: list[tuple]) -> Model:
+    """*rated*: (text, share of raters that found it abusive, and their number, else one).
+
+    A sentence of a document rated abusive counts as abusive once that is likelier
+    than not, given its score and the ratings of all documents that hold it or
+    one like it: ratings that agree outweigh a low score, two that differ say nothing.
 
     All sentences of documents rated abusive are in every fit; of the far more
     numerous others one in THIN, which stands for the rest, and each that scored
@@ -291,8 +338,11 @@ def train(rated: list[tuple[str, float]]) -> Model:
     """
     rng = random.Random(7)
     pool: dict[str, int] = {}
-    of_doc = [([pool.setdefault(s, len(pool)) for s in sentences(t)], r) for t, r in rated if t]
+    votes = [(r, n[0] if n else 1) for t, r, *n in rated if t]
+    error = rating_error(votes)
+    of_doc = [([pool.setdefault(s, len(pool)) for s in sentences(t)], r) for t, r, *_ in rated if t]
     texts = list(pool)
+    evidence = _Evidence(texts, [ids for ids, _ in of_doc], [n * (2 * r - 1) * math.log((1 - error) / error) for r, n in votes])
     clean = Counter(i for ids, r in of_doc if r == 0 for i in set(ids))  # sentence -> unabusive documents that hold it
     accused = sorted({i for ids, r in of_doc if r > 0 for i in ids})
     thin = sorted(i for i in clean.keys() - set(accused) if clean[i] > 1 or zlib.crc32(texts[i].encode()) % THIN == 0)
@@ -317,12 +367,12 @@ def train(rated: list[tuple[str, float]]) -> Model:
                 weight[at[i]] = THIN
         weight[-1] = 0.05 * weight.sum()  # a fragment without a known word isn't abusive
         for ids, r in of_doc if step > 1 else ():
-            if r == 0 or not ids:
+            if r == 0:
                 continue
-            top = max(ids, key=p.__getitem__)
+            best = heapq.nlargest(TRIED, set(ids), key=lambda i: (p[i], i))
             # a rating may err: a document none of whose sentences stands out teaches nothing
-            for i in ids:
-                if not clean[i] and (p[i] >= 0.5 or (i == top and p[i] >= PROMOTE)):
+            for i in {*best, *(i for i in ids if p[i] >= 0.5)}:
+                if math.log(max(p[i], 1e-12) / max(1 - p[i], 1e-12)) + evidence.of(i) > 0:
                     y[at[i]], weight[at[i]] = 1.0, 4.0 * (0.5 + 0.5 * r)
         swapped = [(s, c) for s in [*(texts[i] for i in chosen if p.get(i, 1.0) >= HARD), *(s for s, _ in seeds)] for c in counterfactuals(s, rng)]
         pairs = (_Rows([features(a) for a, _ in swapped], vocabulary), _Rows([features(b) for _, b in swapped], vocabulary)) if swapped else None
@@ -337,17 +387,17 @@ def train(rated: list[tuple[str, float]]) -> Model:
     return model
 
 
-def rated_texts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, float]]:
-    """At most *sample* rated documents with the mean of their ratings; null ratings and repeated rows don't count."""
+def rated_texts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, float, int]]:
+    """At most *sample* rated documents with the mean and the number of their ratings; null ratings and repeated rows don't count."""
     rating = (
-        labels.where("abusive is not null and doc_id is not null").select("doc_id", "rater", "abusive").distinct().groupBy("doc_id").agg(F.avg("abusive").alias("share"))
+        labels.where("abusive is not null and doc_id is not null").select("doc_id", "rater", "abusive").distinct().groupBy("doc_id").agg(F.avg("abusive").alias("share"), F.count("*").alias("raters"))
     )
     order = (F.xxhash64("doc_id"), "doc_id")
     some = rating.where("share > 0").orderBy(*order).limit(sample // 2)
     none = rating.where("share = 0").orderBy(*order).limit(sample // 2)
     chosen = some.unionByName(none)  # at most *sample* short rows: small enough to broadcast
     held = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    return [(r.text, r.share) for r in held.join(F.broadcast(chosen), "doc_id").select("text", "share").collect()]
+    return [(r.text, r.share, r.raters) for r in held.join(F.broadcast(chosen), "doc_id").select("text", "share", "raters").collect()]
 
 
 def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -450,6 +450,20 @@ def test_groups_alone_carry_no_weight(model):
     assert max(scores) < abuse.THRESHOLD
 
 
+def test_wording_that_ratings_agree_on():
+    """Abuse without a known word counts by the ratings of all documents that hold its wording; one erring rating of a common wording doesn't."""
+    veiled, common = "{} would be missed by none were the river to keep that one.", "The crane rail beside {} hangs a hand too low."
+    plain = rated()
+    more = [(f"{t}\n\n{(veiled if i < 4 else common).format(n)}", 1.0 if i < 5 else 0.0) for i, ((t, _), n) in enumerate(zip((r for r in plain if r[1] == 0), "Adler Brandt Conrad Dietz Ebert Falk Gerber Hahn Iffland Jung Keller Lorenz".split(), strict=False))]
+    model = abuse.train(sorted(plain + more))
+    assert model.score(veiled.format("Moser")) >= abuse.THRESHOLD > model.score(common.format("Moser"))
+
+
+def test_error_of_ratings():
+    assert abuse.rating_error([(0.0, 2)] * 900 + [(1.0, 2)] * 40 + [(0.5, 2)] * 60) == pytest.approx(0.0312, abs=0.001)
+    assert 0 < abuse.rating_error([]) < abuse.rating_error([(0.5, 2)] * 50) < 0.5
+
+
 def test_scores_frame(spark):
     docs = [(i, t, "src") for i, (t, _) in enumerate(rated())] + [(900, None, None), (901, "", "src"), (902, "fine " * 50_000, "src")]
     labels = [(i, "r1", int(r), None, None) for i, (_, r) in enumerate(rated())] + [(1, "r2", None, None, None), (None, "r", 1, None, None)]
