@@ -42,8 +42,7 @@ VECTOR, WINDOW, EPOCHS = 24, 5, 2
 LEAST_TRAINED = 400_000  # words that an epoch goes over at least: a small input is gone over again and again
 PART_WORDS = 150_000  # words that one task trains on; the tasks' vectors are averaged
 NEAR, FAR = 3, 8  # neighbours on each side that a context is made of; the farther ones, then the page, where no nearer one is known
-JUDGES = 300  # frequent words of a script that a link's word is compared with
-RANK = 0.45  # a link is used only where its word's cosine with the context beats that of this share of the judges
+RANK = 0.45  # a link is used only where its word's cosine with the context beats that of this share of the judges, all frequent words of its script
 
 _LINE = re.compile("\r\n|\r|\n")
 _CID = re.compile(r"\(cid:\d+\)")
@@ -157,13 +156,16 @@ def meant_forms(word: str) -> set[str]:
 class Lexicon:
     """Skip-gram vectors of words by bucket, turned about their mean, and the judges of each script."""
 
-    def __init__(self, numbers: list[int], vectors: np.ndarray, judges: list[str]):
+    def __init__(self, numbers: list[int], vectors: np.ndarray, judges: list[tuple[int, int, int]]):
+        """*judges*: (bucket, its frequent Latin words, its other frequent words)."""
         self.row = np.full(BUCKETS, -1, np.int32)
         self.row[numbers] = np.arange(len(numbers), dtype=np.int32)
         centred = vectors - vectors.mean(axis=0) if len(numbers) else vectors
         self.vectors = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
-        known = [(w, r) for w in judges if (r := self.row[bucket(w)]) >= 0]
-        self.judges = {latin: self.vectors[[r for w, r in known if _script(w) == latin]] for latin in (True, False)}
+        of = np.array(judges, np.int64).reshape(-1, 3)
+        of = of[self.row[of[:, 0]] >= 0]
+        # words of a bucket share its vector and count by their number
+        self.judges = {latin: (self.vectors[self.row[at[:, 0]]], at[:, 1 if latin else 2]) for latin in (True, False) for at in (of[of[:, 1 if latin else 2] > 0],)}
 
     def context(self, words: list[str], i: int) -> np.ndarray | None:
         """The direction of the words around; of farther ones, at last of the whole page, where no nearer one is known."""
@@ -181,8 +183,8 @@ class Lexicon:
         if around is None:
             return None
         fit, best = max((float(self.vectors[r] @ around), t) for t, r in at)
-        judges = self.judges[_script(best)]
-        return best if not len(judges) or (judges @ around < fit).mean() >= RANK else None
+        judges, n = self.judges[_script(best)]
+        return best if n[judges @ around < fit].sum() >= RANK * n.sum() else None
 
 
 def misread_words(text: str, lex: Lexicon, links: dict[str, list[str]]) -> list[tuple[int, int, str, str]]:
@@ -303,7 +305,8 @@ def running_lines(pdf: DataFrame, least: int = 3) -> DataFrame:
 
 def vectors(read: DataFrame, counts: DataFrame) -> Lexicon:
     """Skip-gram vectors of the words of all pages, one for each bucket of words that occurs often enough."""
-    numbered = read.select(F.transform("words", lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(BUCKETS)).cast("string")).alias("words"))
+    number = lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(BUCKETS))
+    numbered = read.select(F.transform("words", lambda w: number(w).cast("string")).alias("words"))
     total = numbered.agg(F.sum(F.size("words"))).first()[0] or 0
     if total < LEAST_COUNT or not counts.head(1):
         return Lexicon([], np.zeros((0, VECTOR), np.float32), [])
@@ -312,10 +315,10 @@ def vectors(read: DataFrame, counts: DataFrame) -> Lexicon:
     parts = max(1, min(4 * read.sparkSession.sparkContext.defaultParallelism, -(-total * again // PART_WORDS)))
     model = Word2Vec(vectorSize=VECTOR, windowSize=WINDOW, minCount=LEAST_COUNT * again, maxIter=EPOCHS, numPartitions=parts, seed=11, inputCol="words", outputCol="v", maxSentenceLength=1000).fit(numbered)
     rows = model.getVectors().collect()  # at most one row a bucket
-    # the judges: of each script some of the words that a link may lead to, by their hash
-    often = counts.where(F.col("count") >= RATIO)
-    judges = [r.word for latin in (True, False) for r in often.where((F.col("word") < "ɐ") == latin).orderBy(F.xxhash64("word"), "word").limit(JUDGES).collect()]
-    return Lexicon([int(r.word) for r in rows], np.array([r.vector.toArray() for r in rows], dtype=np.float32), judges)
+    # the judges: every word that a link may lead to, by bucket
+    latin = F.col("word") < "ɐ"
+    judges = counts.where(F.col("count") >= RATIO).groupBy(number(F.col("word")).alias("bucket")).agg(F.count_if(latin), F.count_if(~latin)).collect()  # at most one row a bucket
+    return Lexicon([int(r.word) for r in rows], np.array([r.vector.toArray() for r in rows], dtype=np.float32), [tuple(r) for r in judges])
 
 
 def word_links(words: DataFrame, counts: DataFrame) -> DataFrame:

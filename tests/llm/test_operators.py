@@ -141,6 +141,22 @@ def test_misread_words_by_context(spark):
     assert scans.misread_words("qq zuhah ww", lex, {"zuhah": ["zubah"]}) == []
 
 
+def test_all_frequent_words_judge(spark):
+    """Whether a word fits its context is decided against every frequent word of its script, not against some of them."""
+    rng = random.Random(3)
+    latin, kana = [f"w{a}{b}o" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], [a + b for a in "カキクケコサシスセソ" for b in "タチツテトナニヌネノ"]
+    read = spark.createDataFrame([([*rng.sample(latin, len(latin)), *rng.sample(kana, len(kana)), "seldom"],) for _ in range(scans.RATIO - 1)] + [([*latin, *kana],)], "words array<string>")
+    counts = read.select(F.explode("words").alias("word")).groupBy("word").count()
+    lex = scans.vectors(read, counts)
+    vector = lambda w: lex.vectors[lex.row[scans.bucket(w)]]
+    around = ["wabo", "wqxo", "", "wkto", "カタ"]
+    for words in (latin, kana):
+        fits = np.stack([vector(w) for w in words]) @ lex.context(around, 2)
+        for w, f in zip(words, fits, strict=True):
+            if abs((share := (fits < f).mean()) - scans.RANK) > 2 / len(words):  # at the bound itself rounding decides
+                assert (lex.chosen([w], around, 2) == w) == (share > scans.RANK)
+
+
 def test_the_same_answer_in_a_larger_table(spark):
     """Ten times the pages, of other words: thresholds are absolute, so what a page gets doesn't change."""
     page = (900, "/d/x.pdf", "1", "The pnmp in building C was inspected.\nThe valve stands still.")
